@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the shared folder and read again: a cut in lineage that any executor can read."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words_count(text: Column) -> Column:
     """Number of words of a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import mixing, simhash
+from provenir.llm import bpe, linededup, mixing, simhash, toxicity
 from provenir.llm.common import prepare
 
 
@@ -25,9 +25,35 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def encoder(spark: SparkSession, path: str | None = None) -> bpe.ByteBpe:
+    """The byte-level BPE of a public vocabulary; another file's path may be given."""
+    import public_tokenizers
+
+    return bpe.ByteBpe(spark, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, coder = _read(spark, sf_dir, "documents"), encoder(spark)
+    ids = docs.select("doc_id", coder.encode(F.col("text")).alias("ids"))
+    both = ids.select("doc_id", "ids", coder.decode(F.col("ids")).alias("decoded"))
+    return both.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines", "removed_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_simhash_components": op2_simhash_components,
+    "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
+    "op9_rank_queue_bpe": op9_rank_queue_bpe,
+    "op10_line_windows": op10_line_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {}
