@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, linededup, mixing, simhash, toxicity
+from provenir.llm import bpe, linededup, mixing, quality, secrets, simhash, toxicity
 from provenir.llm.common import prepare
 
 
@@ -30,6 +30,19 @@ def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.secret_scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("findings", lambda x: x["kind"].isin([r.kind for r in secrets.RULES]))
+    spans = found.select("doc_id", *[count(r.kind) for r in secrets.RULES], secrets.as_text(base).alias("base"), secrets.as_text(F.col("findings")).alias("spans"))
+    return spans.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality.quality_rules(_read(spark, sf_dir, "documents"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
 def encoder(spark: SparkSession, path: str | None = None) -> bpe.ByteBpe:
     """The byte-level BPE of a public vocabulary; another file's path may be given."""
     import public_tokenizers
@@ -52,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_simhash_components": op2_simhash_components,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
+    "op7_blob_ledger_secrets": op7_blob_ledger_secrets,
+    "op8_line_frequency_rules": op8_line_frequency_rules,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
     "op10_line_windows": op10_line_windows,
 }
@@ -84,3 +99,48 @@ r as (select *, sum(case when p > 0 then w end) over (partition by source order
 select doc_id, w as size, size::bigint as source_size, target,
   ((certain + case when p > 0 and 2 * goal > 2 * after - unit then 1 else 0 end) * w)::bigint as taken from r
 """
+
+#: Matches by regexp_extract_all; their places from the lengths of the pieces between them.
+ORACLE_SQL["op7_blob_ledger_secrets"] = r"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
+m as (select row, kind, ord, least, w, g, s, unnest(range(1, len(w) + 1)) as i from (
+  select row, 'assign' as kind, 0 as ord, 6 as least,
+    regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as w,
+    regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) as g,
+    string_split_regex(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as s from d
+  union all
+  select row, 'access', 1, 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') from d
+  union all
+  select row, 'hex', 2, 24, regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}'), string_split_regex(t, '[0-9a-f]{24,}') from d)),
+p as (select row, kind, ord, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0) as a,
+    length(w[i]) as n from m where length(g[i]) >= least),
+a as (select row, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || a::bigint || ':' || (a + n)::bigint, ',' order by a, ord) as spans from p group by row)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (row)
+"""
+
+ORACLE_SQL["op8_line_frequency_rules"] = r"""
+with d as (select row_number() over () as row, doc_id, source, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, string_split(coalesce(text, ''), chr(10)) as l from documents),
+g as (select row, unnest(range(1, len(w) - 6)) as i, w from d where len(w) >= 8),
+h as (select row, i, array_to_string(w[i:i+7], ' ') as k from g),
+r as (select row, i from h qualify count(*) over (partition by row, k) > 1),
+c as (select row, sum(least(8, coalesce(nxt - i, 8))) as n from (select row, i, lead(i) over (partition by row order by i) as nxt from r) group by row),
+lines as (select row, unnest(l) as x, source, t from d),
+n as (select row, source, t, x, trim(regexp_replace(translate(lower(x), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as k,
+    len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as words from lines where regexp_matches(x, '[^\x20\x09-\x0D]')),
+u as (select row, count(*) - count(distinct x) as dups from n group by row),
+f as (select n.source, k from n join (select source, count(distinct t) as docs from d group by source) s on n.source is not distinct from s.source
+  group by n.source, k, docs having count(distinct t) > 20 and count(distinct t) > docs * 0.005::double),
+z as (select row, sum(words) as removed from n join f on n.source is not distinct from f.source and n.k = f.k group by row),
+b as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(dups, 0)::bigint as n_dup_lines,
+    coalesce(n, 0)::bigint as n_repeat_words, coalesce(removed, 0)::bigint as removed_words
+  from d left join c using (row) left join u using (row) left join z using (row))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (removed_words > 0 and
+    (n_words - removed_words < 20 or n_words - removed_words < 0.2::double * n_words)) as kept
+from b
+"""
