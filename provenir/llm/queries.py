@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import bpe, linededup, mixing, quality, secrets, simhash, toxicity
+from provenir.llm import bpe, importance, linededup, matroska, mixing, quality, secrets, simhash, toxicity, warc
 from provenir.llm.common import prepare
 
 
@@ -25,11 +25,32 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), matroska.media(F.col("text")).alias("media"))
+    back = stored.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), matroska.features(F.col("media")).alias("f"))
+    return back.select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", "media_bytes", "media_sha256", "f.feature")
+
+
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; as many documents are kept as the labels have good ones."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    sampled = importance.importance_resample(docs.select("doc_id", "text"), docs.join(good, "doc_id", "left_semi"), 1.0 if share is None else share)
+    return sampled.select("doc_id", "log_weight", "gumbel_key", "kept")
+
+
 def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.secret_scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -64,7 +85,10 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_simhash_components": op2_simhash_components,
+    "op3_matroska_columns": op3_matroska_columns,
+    "op4_importance_resampling": op4_importance_resampling,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
+    "op6_warc_normaliser": op6_warc_normaliser,
     "op7_blob_ledger_secrets": op7_blob_ledger_secrets,
     "op8_line_frequency_rules": op8_line_frequency_rules,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
