@@ -61,20 +61,23 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     return simhash64(text)
 
 
-def _masks(positions: list[tuple[int, ...]]) -> Column:
-    signed = [m - (1 << 64) if m >> 63 else m for m in (sum(1 << i for i in p) for p in positions)]
-    return F.explode(F.array(*[F.lit(m).cast("long") for m in signed]))
+def _variants(fps: DataFrame, flips: list[tuple[int, ...]]) -> DataFrame:
+    """(variant, fp): each fp with the bits of each flip turned over, dealt out by variant. What is shuffled is the fp
+    and the number of the flip, which compress far better than variants; the variant is made again where it arrives."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in (sum(1 << i for i in p) for p in flips)]
+    masks = F.array(*[F.lit(m).cast("long") for m in signed])
+    variant = F.col("fp").bitwiseXOR(F.get(masks, F.col("flip")))
+    dealt = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(flips) - 1))).alias("flip")).repartition(variant)
+    return dealt.select(variant.alias("variant"), "fp")
 
 
 def near_fingerprints(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect all fingerprints (column fp, distinct) at most 3 bits apart, each link verified."""
-    one = _masks([(i,) for i in range(64)])
     # An even one's own value is what an odd neighbour 1 bit away emits.
-    two = _masks([()] + [(i, j) for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)])
-    even = F.bit_count("fp") % 2 == 0
-    near = fps.select("fp", one.alias("mask")).select((F.col("fp").bitwiseXOR(F.col("mask"))).alias("variant"), "fp")
+    two = [()] + [(i, j) for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)]
+    near = _variants(fps, [(i,) for i in range(64)])
+    far = _variants(fps.where(F.bit_count("fp") % 2 == 0), two)
     hubs = near.groupBy("variant").agg(F.min("fp").alias("hub"), F.count("*").alias("n"))
-    far = fps.where(even).select("fp", two.alias("mask")).select((F.col("fp").bitwiseXOR(F.col("mask"))).alias("variant"), "fp")
     crossed = far.join(hubs.where(F.bit_count("variant") % 2 == 0).select("variant", "hub").hint("shuffle_hash"), "variant")
     level = near.join(hubs.where("n > 1").select("variant", "hub").hint("shuffle_hash"), "variant").where("fp <> hub")
     met = crossed.select("fp", "hub").unionByName(level.select("fp", "hub"))
