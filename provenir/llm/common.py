@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from provenir.session import ship
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,10 +20,7 @@ ARROW_BATCH_BYTES = 8 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that every operator relies on: executors can import this package, batches to Python are
     bounded in bytes, and a checkpoint folder exists (the cluster's own is kept; one is set only where none is)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     shared_dir(spark)
     return spark

@@ -106,7 +106,9 @@ def connected(links: DataFrame) -> DataFrame:
 
 def fingerprint_classes(fps: DataFrame) -> DataFrame:
     """(fp, root, class_id) for each fp of rows (doc_id, fp): its component of near fingerprints and its least doc_id."""
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")).checkpoint()
+    # Dealt out anew: a node is a few bytes here and a thousand rows in the next step.
+    wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")).repartition(wide, "fp").checkpoint()
     roots = connected(near_fingerprints(nodes.select("fp"))).withColumnRenamed("node", "fp")
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least_id").alias("class_id"))
