@@ -254,7 +254,8 @@ _PACKET = "track:bigint,time_ns:bigint,start:bigint,end:bigint,keyframe:boolean,
 
 
 def packets(df: DataFrame, column: str = "media") -> DataFrame:
-    """A row for each packet, beside df's other columns; media that can't be parsed give one row of nulls."""
+    """A row for each packet, beside df's other columns (but those named like a packet's); media that can't be parsed give
+    one row of nulls."""
     prepare(df.sparkSession)
 
     @F.arrow_udf(f"array<struct<{_PACKET}>>")
@@ -268,8 +269,9 @@ def packets(df: DataFrame, column: str = "media") -> DataFrame:
         fields = [("track", pa.int64()), ("time_ns", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("keyframe", pa.bool_()), ("cluster", pa.int64()), ("block", pa.int64()), ("lacing", pa.string())]
         return pa.array([one(x.as_py()) for x in batch], pa.list_(pa.struct(fields)))
 
-    rest = [F.col(f"`{c}`") for c in df.columns if c != column]
-    return df.select(*rest, F.explode_outer(packets_of(F.col(column))).alias("packet")).select(*rest, "packet.*")
+    own = {x.split(":")[0] for x in _PACKET.split(",")}
+    rest = [F.col(f"`{c}`") for c in df.columns if c != column and c not in own]
+    return df.select(*rest, F.explode_outer(packets_of(F.col(column))).alias("_packet")).select(*rest, "_packet.*")
 
 
 def features_of(content: bytes) -> tuple[int, str, int, str]:

@@ -25,7 +25,7 @@ SYMBOLS = r"[#*$%&|<>]"
 #: A line is removed if more than LEAST_COPIES documents of the host, and more than this share of them, hold it.
 LEAST_COPIES, LINE_SHARE = 20, 0.005
 #: A document is depleted if fewer words than this remain, or a smaller share of them.
-LEAST_WORDS, LEAST_SHARE = 20, 0.2
+LEAST_WORDS, LEAST_SHARE = 10, 0.3
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -79,7 +79,7 @@ def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines", "removed_words")
+    return linededup.line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines", "removed_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -165,6 +165,16 @@ b as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words,
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (removed_words > 0 and
-    (n_words - removed_words < 20 or n_words - removed_words < 0.2::double * n_words)) as kept
+    (n_words - removed_words < 10 or n_words - removed_words < 0.3::double * n_words)) as kept
+from b
+"""
+
+#: Base32 from the bits of the SHA-1, five at a time.
+ORACLE_SQL["op6_warc_normaliser"] = r"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+b as (select page_id, h, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: lpad(bin(('0x' || c)::int), 4, '0')), '') as bits, max(page_id) over (partition by h) as holder from p)
+select page_id, octet_length(encode(h))::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substr(bits, 5 * k + j, 1)::bigint << (5 - j)))::bigint, 1)), '') as payload_digest,
+  case when page_id = holder then 'response' else 'revisit' end as record_type, case when page_id <> holder then holder end as refers_to
 from b
 """
