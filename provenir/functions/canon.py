@@ -104,3 +104,20 @@ def memory_limit_ok(text: Column) -> Column:
     """A number above 0 and an optional unit, as container engines read it."""
     number = F.regexp_extract(text, r"(?i)^(\d+(?:\.\d+)?) ?[kmgtp]?i?b?\z", 1)
     return F.coalesce((number != "") & (number.try_cast("double") > 0), F.lit(False))
+
+
+def strict_problem(text: Column, schema: str, fields: tuple[str, ...], version: int = 1) -> Column:
+    """Why a text is not the canonical form of a record of a schema, or null: not an object, schema, version, fields, form."""
+    keys = F.array_sort(F.json_object_keys(text))
+    wanted = F.array(*[F.lit(k) for k in sorted({*fields, "schema", "schema_version"})])
+    got = lambda k: F.get_json_object(text, f"$.{k}")
+    form = canonical_json(text)
+    return (
+        F.when(form.isNull() | ~F.startswith(F.ltrim(text), F.lit("{")), "not an object").when(~got("schema").eqNullSafe(F.lit(schema)), "schema")
+        .when(~got("schema_version").eqNullSafe(F.lit(str(version))), "version").when(keys != wanted, "fields").when(form != text, "form")
+    )
+
+
+def config_digest(config: Column) -> Column:
+    """SHA-256 of a configuration's canonical JSON."""
+    return sha256(canonical_json(config))

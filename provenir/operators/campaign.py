@@ -114,3 +114,22 @@ def observe(runs: DataFrame) -> DataFrame:
     """runs (applicable, host_error, refusal, failure) with status: how one document and lane went."""
     status: Column = F.when(~F.col("applicable"), "not_applicable").when(F.col("host_error").isNotNull(), "error").when(F.col("failure").isNotNull(), "failed").when(F.col("refusal").isNotNull(), "containment_error").otherwise("sealed")
     return runs.withColumn("status", status)
+
+
+def report(gate_rows: DataFrame, statuses: DataFrame, outcomes: DataFrame) -> str:
+    """A campaign's report as canonical JSON: its gates and counts, a few rows each, and whether all gates passed."""
+    import json
+
+    rows = lambda df, *by: [r.asDict() for r in df.orderBy(*by).collect()]
+    counted = outcomes.groupBy("lane", "outcome").agg(F.count("*").alias("n"))
+    gates_ = rows(gate_rows, "gate")
+    body = {"schema": "report", "schema_version": 1, "gates": gates_, "passed": all(g["passed"] for g in gates_), "statuses": rows(statuses, "lane", "status"), "outcomes": rows(counted, "lane", "outcome")}
+    return json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def rebuild_problems(old: str, new: str, ignore: tuple[str, ...] = ("generated_at", "ledger_head")) -> list[str]:
+    """The parts in which a report differs from its rebuild, but for those that may."""
+    import json
+
+    a, b = json.loads(old), json.loads(new)
+    return sorted(k for k in (a.keys() | b.keys()) - set(ignore) if a.get(k) != b.get(k))

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from provenir.functions.canon import GENESIS, event_hash
 
 
-def build_chain(events: DataFrame, chain: str = "chain") -> DataFrame:
-    """(chain, seq, kind, subject, body, at, prev_hash, hash) for events (chain, ord, kind, subject, body, at).
+def build_chain(events: DataFrame, chain: str = "chain", first: int = 0, prev: str = GENESIS) -> DataFrame:
+    """(chain, seq, kind, subject, body, at, prev_hash, hash) for events (chain, ord, kind, subject, body, at), each chain
+    from number first + 1 on after the hash prev.
 
     Each hash needs the one before it, so a chain is folded in order in one row; chains run in parallel."""
     item = F.struct("ord", "kind", "subject", "body", "at")
     logs = events.groupBy(chain).agg(F.array_sort(F.collect_list(item)).alias("log"))
     kind = "array<struct<seq:bigint,kind:string,subject:string,body:string,at:string,prev_hash:string,hash:string>>"
-    start = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(prev).alias("prev"), F.array().cast(kind).alias("out"))
 
     def step(done: Column, e: Column) -> Column:
-        seq = F.size(done["out"]).cast("bigint") + 1
+        seq = F.size(done["out"]).cast("bigint") + F.lit(first + 1).cast("bigint")
         digest = event_hash(seq, e["kind"], e["subject"], e["body"], e["at"], done["prev"])
         one = F.struct(seq.alias("seq"), e["kind"].alias("kind"), e["subject"].alias("subject"), e["body"].alias("body"), e["at"].alias("at"), done["prev"].alias("prev_hash"), digest.alias("hash"))
         return F.struct(digest.alias("prev"), F.concat(done["out"], F.array(one)).alias("out"))

@@ -166,3 +166,36 @@ def pointer_value(document: Column, pointer: Column) -> Column:
         return pd.Series([one(a, b) for a, b in zip(documents, pointers)], dtype="object")
 
     return resolve_pointer(document, pointer)
+
+
+def chunks(units: DataFrame) -> DataFrame:
+    """Delivery chunks (record_id, chunk_id, ord, content, content_hash, token_count, anchor) of units that resolve."""
+    from provenir.functions.canon import sha256, token_count
+    from provenir.functions.refs import anchor_ref
+
+    none = F.lit(None).cast("string")
+    anchor = anchor_ref(F.col("record_id"), F.col("artifact_hash"), F.col("artifact"), F.col("digest"), F.col("start"), F.col("end"), none, none)
+    return units.select("record_id", F.concat("record_id", F.lit(":"), "unit_id").alias("chunk_id"), "ord", F.col("text").alias("content"), sha256(F.col("text")).alias("content_hash"), token_count(F.col("text")).alias("token_count"), anchor.alias("anchor"))
+
+
+#: Normalisers by parser: which make units of Markdown and which of conversations.
+NORMALISERS = {"mineru": "markdown", "marker": "markdown", "docling": "markdown", "export-split": "conversation"}
+
+
+def normaliser(parser_name: Column) -> Column:
+    """The normaliser of a parser's output; null if there is none."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, kind in NORMALISERS.items():
+        out = out.when(parser_name == name, kind)
+    return out
+
+
+def conversation_units(nodes: DataFrame) -> DataFrame:
+    """Message units (record_id, unit_id, ord, kind, text, pointer) of flattened conversations (record_id, node_id, ord, text);
+    nodes without text have none, and a unit's anchor is a pointer to its message."""
+    from provenir.functions.canon import json_pointer
+
+    shown = nodes.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    run = Window.partitionBy("record_id").orderBy("ord")
+    n = F.row_number().over(run)
+    return shown.select("record_id", F.format_string("u%06d", n).alias("unit_id"), (n - 1).alias("ord"), F.lit("message").alias("kind"), "text", json_pointer(F.lit("mapping"), F.col("node_id"), F.lit("message")).alias("pointer"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.functions import canon, refs
-from provenir.operators import campaign, chain, compare, conversations, delivery, failures, ledger, manifests, markdown
+from provenir.operators import campaign, chain, commits, compare, conversations, delivery, failures, ledger, manifests, markdown, resolution
 from provenir.plans.views import view, with_views
 from provenir.session import ship
 
@@ -714,3 +714,103 @@ def device_choice(spark, d):
 @query("select doc_id, text[:1000] as text, length(text) > 1000 as truncated from documents")
 def bounded_output(spark, d):
     return read(spark, d, "documents").select("doc_id", failures.bounded_capture(F.col("text"), 1000).alias("c")).select("doc_id", "c.*")
+
+
+# Appends, resolution, record checks.
+
+
+@query("""select run_id::varchar as run_id, case when run_id % 9 = 0 then 'no artifacts' when run_id % 10 < 3 then 'run has a record' when run_id % 4 <> 3 and not exists (select 1 from v_snapshots s where s.digest = source_hash and s.kind = 'file') then 'snapshot not archived' else 'source without snapshot' end as problem from v_runs
+where run_id % 9 = 0 or run_id % 10 < 3 or (run_id % 4 <> 3 and not exists (select 1 from v_snapshots s where s.digest = source_hash and s.kind = 'file')) or (run_id % 4 = 3 and run_id % 8 = 3)""")
+def creation_problems(spark, d):
+    runs = view(spark, d, "v_runs").withColumn("n", F.col("run_id"))
+    has = F.col("n") % 4 != 3
+    asked = runs.select(F.col("n").cast("string").alias("run_id"), F.when(F.col("n") % 9 == 0, 0).otherwise(1).alias("artifacts"), F.when(has, F.col("source_hash")).alias("source_hash"), F.when(has, F.lit("file")).alias("source_kind"), F.when(F.col("n") % 8 == 3, F.lit("s")).alias("source_id"))
+    return commits.creation_problems(asked, runs.where("n % 10 < 3").select(F.col("n").cast("string").alias("run_id")), view(spark, d, "v_snapshots"))
+
+
+@query("""with l as (select record_id, arg_max(state, doc_id) as o from (select doc_id, 'rec-' || (doc_id % 50) as record_id, case when doc_id % 3 = 0 then 'diverged' else 'reproduced' end as state from v_replays) group by 1) select record_id from l where o = 'diverged'""")
+def diverged_records(spark, d):
+    replays = view(spark, d, "v_replays").select(F.concat(F.lit("rec-"), (F.col("doc_id") % 50).cast("string")).alias("record_id"), F.format_string("%012d", F.col("doc_id")).alias("replayed_at"), "replay_id", F.when(F.col("doc_id") % 3 == 0, "diverged").otherwise("reproduced").alias("outcome"))
+    return commits.diverged(replays)
+
+
+@query(f"""with {_VALIDATION}, r as (select record_id, max(case status when 'missing' then 3 when 'drift' then 2 else 0 end) as s from v group by 1)
+select record_id, case s when 3 then 'artifact_missing' else 'artifact_drift' end as reason from r where s > 0""")
+def drifted_records(spark, d):
+    return commits.drifted(ledger.validation_plan(validation_files(spark, d)))
+
+
+@query("""select distinct w.record_id, 'index' as target_kind, 't' || (doc_id % 2) as target from v_records w where doc_id % 2 = 1 or doc_id % 3 = 0""")
+def open_deliveries(spark, d):
+    target = F.concat(F.lit("t"), (F.col("doc_id") % 2).cast("string"))
+    wanted = view(spark, d, "v_records").select("doc_id", "record_id", F.lit("index").alias("target_kind"), target.alias("target"))
+    return commits.open_deliveries(wanted.drop("doc_id").unionByName(wanted.drop("doc_id")), wanted.where("doc_id % 2 = 0 and doc_id % 3 <> 0").drop("doc_id"))
+
+
+@query(f"""with s as (select digest, bool_and(sha256(content) = digest) as ok from v_blobs group by digest), b as (select record_id, bool_and(coalesce(ok, false)) as whole from v_manifest left join s using (digest) group by 1),
+t as (select v.dispatch_id, {_MAPPED.format('e')} as status from v_deliveries v left join (select dispatch_id, arg_max(event, event_id) as e from v_delivery_events group by 1) using (dispatch_id))
+select v.dispatch_id, case when r.state <> 'sealed' then 'not sealed' when not whole then 'bundle broken' when status = 'delivered' then 'already delivered' else 'ready' end as verdict from v_deliveries v join v_records r using (record_id) join b using (record_id) join t using (dispatch_id)""")
+def dispatchable(spark, d):
+    return commits.dispatchable(view(spark, d, "v_records"), bundle_verify(spark, d), view(spark, d, "v_deliveries"), view(spark, d, "v_delivery_events"))
+
+
+@query("""select v.dispatch_id, count(event_id) as n, coalesce(string_agg(event, ',' order by event_id), '') as log from v_deliveries v left join v_delivery_events using (dispatch_id) group by 1""")
+def delivery_history(spark, d):
+    logs = commits.history(view(spark, d, "v_deliveries"), view(spark, d, "v_delivery_events"))
+    return logs.select("dispatch_id", F.coalesce(F.size("events"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(F.transform("events", lambda e: e["event"]), ","), F.lit("")).alias("log"))
+
+
+@query(f"""with s as (select digest, bool_and(sha256(content) = digest) as ok from v_blobs group by digest), b as (select record_id, bool_and(coalesce(ok, false)) as whole from v_manifest left join s using (digest) group by 1),
+{_REFS}, p as (select ref, case type when 'source' then (case when doc_id % 3 <> 0 and false then null when not exists (select 1 from v_snapshots s where s.digest = f.digest) then 'no source' end)
+  when 'snapshot' then (case when not exists (select 1 from v_snapshots s where s.digest = f.digest and s.kind = 'file') then 'no snapshot' end)
+  when 'event' then (case when doc_id % 5 = 0 then 'no event' when doc_id % 7 = 0 then 'other event' end)
+  else (select case when r.state <> 'sealed' then 'record is ' || r.state when not b.whole then 'output does not verify' end from v_records r join b using (record_id) where r.record_id = f.id) end as problem from f)
+select ref, problem from p""")
+def ref_resolve(spark, d):
+    records = view(spark, d, "v_records").withColumn("observation_digest", F.lit(None).cast("string"))
+    snapshots = view(spark, d, "v_snapshots")
+    log = records.where("doc_id % 5 <> 0").select((F.col("doc_id") + 1).alias("seq"), F.when(F.col("doc_id") % 7 == 0, F.lit("x")).otherwise(F.col("source_hash")).alias("hash"))
+    return resolution.resolve(_refs(spark, d).select("ref"), snapshots.select(F.col("digest").alias("source_id")), snapshots.withColumn("ok", F.lit(True)), records, bundle_verify(spark, d), log, True)
+
+
+@query("""select record_id, unnest(['provenir:record:' || record_id || '@' || artifact_hash, 'provenir:observation:' || record_id || '@' || sha256('{"observed_at":"' || created_at || '","record_id":"' || record_id || '","schema":"provenir.observation","schema_version":1,"snapshot":{"digest":"' || source_hash || '","kind":"file"},"source_id":null}'),
+  'provenir:snapshot:file:' || source_hash, 'provenir:event:' || (doc_id + 1) || '@' || artifact_hash]) as ref from v_records""")
+def record_refs(spark, d):
+    records = view(spark, d, "v_records")
+    events = records.select(F.col("record_id").alias("subject"), (F.col("doc_id") + 1).alias("seq"), F.col("artifact_hash").alias("hash"))
+    return resolution.of_record(records, events)
+
+
+@query("""with j as (select *, row_number() over (partition by record_id order by doc_id, lane_order) as nth from v_journal where status = 'sealed'),
+c as (select j.*, case when doc_id % 12 = 5 then 'pending' else 'sealed' end as rs, doc_id % 14 = 3 as other, doc_id % 16 = 7 as parser, case when doc_id % 18 = 9 then 'missing' else 'ok' end as v from j)
+select path, lane, unnest(case when doc_id % 22 = 1 then ['not in the ledger'] else list_filter([case when rs <> 'sealed' then 'not sealed' end, case when other then 'another run' end, case when parser then 'another parser' end, case when lane <> 'base' then 'another backend' end, case when nth > 1 then 'claimed twice' end, case when doc_id % 26 = 11 then 'another input' end, case when v <> 'ok' then 'does not verify' end], lambda x: x is not null) end) as problem from c""")
+def record_problems(spark, d):
+    n = F.col("doc_id")
+    seen = view(spark, d, "v_journal").where("status = 'sealed'").withColumn("run_id", F.col("record_id")).withColumn("artifact_hash", F.col("record_id"))
+    rows = seen.select("doc_id", "record_id", "path").dropDuplicates(["record_id"])
+    records = rows.where(n % 22 != 1).select("record_id", F.when(n % 14 == 3, F.lit("x")).otherwise(F.col("record_id")).alias("run_id"), F.when(n % 12 == 5, "pending").otherwise("sealed").alias("state"), F.col("record_id").alias("artifact_hash"), F.when(n % 16 == 7, "other").otherwise("mineru").alias("parser_name"), F.lit("1").alias("parser_version"), F.lit("oci").alias("backend"), F.col("path").alias("source_hash"))
+    corpus = view(spark, d, "v_doc_corpus").withColumn("sha256", F.when(F.substring("path", 5, 8).cast("long") % 26 == 11, F.lit("x")).otherwise(F.col("path")))
+    valid = rows.select("record_id", F.when(n % 18 == 9, "missing").otherwise("ok").alias("status"))
+    return resolution.record_problems(seen, records, corpus, valid, {"base": "oci", "cand_a": "wasm", "cand_b": "wasm"}, ("mineru", "1"))
+
+
+@query(_MD_UNITS + """ select 'rec-' || printf('%08d', doc_id) || ':' || unit_id as chunk_id, sha256(text) as content_hash from u where doc_id % 19 <> 0 and doc_id % 23 <> 0 and not (doc_id % 17 = 0 and i = 1) and (select text from documents d where d.doc_id = u.doc_id) in (select text from documents where doc_id % 29 <> 0)""")
+def extraction_chunks(spark, d):
+    """Units that resolve, as chunks."""
+    anchors, manifest, blobs = _anchored(spark, d)
+    good = markdown.resolve(anchors, manifest, blobs).where("problem is null").withColumn("artifact_hash", F.col("digest"))
+    return markdown.chunks(good).select("chunk_id", "content_hash")
+
+
+@query("""select conv_id, 'u' || printf('%06d', row_number() over w) as unit_id, '/mapping/' || node_id || '/message' as pointer from v_conv_nodes where text <> '' window w as (partition by conv_id order by ord)""")
+def message_units(spark, d):
+    flat = view(spark, d, "v_conv_nodes").select(F.col("conv_id").alias("record_id"), "node_id", "ord", "text")
+    return markdown.conversation_units(flat).select(F.col("record_id").alias("conv_id"), "unit_id", "pointer")
+
+
+@query()
+def strict_records(spark, d):
+    """Records of which some are not canonical, and what is wrong with them."""
+    record = canon.snapshot_record(F.lit("file"), canon.sha256(F.col("text")), F.octet_length("text"), F.lit(1))
+    spoiled = F.when(F.col("doc_id") % 5 == 0, F.replace(record, F.lit(":1,"), F.lit(": 1,"))).when(F.col("doc_id") % 5 == 1, F.replace(record, F.lit("file_count"), F.lit("files"))).when(F.col("doc_id") % 5 == 2, F.replace(record, F.lit(".snapshot"), F.lit(".source"))).when(F.col("doc_id") % 5 == 3, F.substring(record, 1, 40)).otherwise(record)
+    return read(spark, d, "documents").select("doc_id", canon.strict_problem(spoiled, "provenir.snapshot", ("kind", "digest", "size", "file_count")).alias("problem"))

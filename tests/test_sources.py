@@ -40,3 +40,51 @@ def test_tail_follows_a_chain(spark, tmp_path):
     q.stop()
     assert [tuple(r) for r in spark.sql("select seq, problem from found").collect()] == [(5, "gap")]
     assert chain.tail(spark.createDataFrame(rows, CHAIN), 4).count() == 2
+
+
+def test_appends_follow_the_head_and_refuse_violations(spark, tmp_path):
+    import pytest
+
+    from provenir.operators import commits
+
+    log = str(tmp_path / "chain")
+    batch = lambda *ids: commits.transition_events(spark.createDataFrame([(i, "t") for i in ids], "record_id string, `at` string"), "record.sealed")
+    first = commits.append(spark, log, batch("a", "b"))
+    second = commits.append(spark, log, batch("c"), spark.range(0))
+    assert (first[0], second[0]) == (2, 3)
+    with pytest.raises(commits.Refused):
+        commits.append(spark, log, batch("d"), spark.range(1))
+    rows = spark.read.parquet(log)
+    assert rows.count() == 3 and chain.verify_chain(rows.selectExpr("'c' as chain", "*")).count() == 0
+
+
+def test_strict_records(spark):
+    from pyspark.sql import functions as F
+
+    from provenir.functions import canon
+
+    d = "a" * 64
+    good = f'{{"digest":"{d}","file_count":1,"kind":"file","schema":"provenir.snapshot","schema_version":1,"size":3}}'
+    cases = {good: None, good.replace(":3", ": 3"): "form", good.replace("kind", "sort"): "fields", good.replace("_version\":1", "_version\":2"): "version", good.replace(".snapshot", ".x"): "schema", "[]": "not an object", "{": "not an object", good[:-1] + ',"x":1}': "fields"}
+    got = spark.createDataFrame(list(cases.items()), "t string, w string").select("w", canon.strict_problem(F.col("t"), "provenir.snapshot", ("kind", "digest", "size", "file_count")).alias("p")).collect()
+    assert all(r.w == r.p for r in got)
+
+
+def test_report_and_rebuild(spark):
+    from provenir.operators import campaign
+
+    gates = spark.createDataFrame([("coverage", True, 0.0)], "gate string, passed boolean, value double")
+    statuses = spark.createDataFrame([("b", "sealed", 2)], "lane string, status string, n long")
+    outcomes = spark.createDataFrame([("p", "c", "identical"), ("q", "c", "diverged")], "path string, lane string, outcome string")
+    one = campaign.report(gates, statuses, outcomes)
+    assert campaign.rebuild_problems(one, campaign.report(gates, statuses, outcomes)) == []
+    assert campaign.rebuild_problems(one, campaign.report(gates, statuses, outcomes.limit(1))) == ["outcomes"]
+
+
+def test_split_index(spark):
+    from provenir.operators import conversations
+
+    lines = spark.createDataFrame([("r", '{"path":"a","index":"0","offset":1,"length":2}'), ("r", '{"path":"b","index":1,"offset":1,"length":2}'), ("r", '{"path":"a","index":1}'), ("r", "nonsense")], "record_id string, line string")
+    entries, problems = conversations.split_index(lines, spark.createDataFrame([("r", "a")], "record_id string, path string"))
+    assert [tuple(r)[1:] for r in entries.collect()] == [("a", 0, 1, 2)]
+    assert sorted(r.problem for r in problems.collect()) == ["malformed", "malformed", "not in the bundle"]
