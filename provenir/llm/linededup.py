@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,109 +28,129 @@ from pyspark.sql import functions as F
 from provenir.llm.common import prepare, written
 
 LEAST, MOST, ONE_IN = 5, 14, 3
+#: Stands for a newline among a text's words.
+BREAK = b"\0"
 _SPLIT = re.compile(r"([\x20\x09-\x0D]+)").split
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-class _Ends(dict):
-    """Whether a line may end after a word, remembered."""
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = out = xxhash.xxh32_intdigest(word.encode().lower()) % ONE_IN == 0
-        return out
-
-
-_ends = _Ends()
-
-
-def lines_of(text: str) -> tuple[list[str], list[int]]:
-    """(words and the white space between them, alternating and beginning with a word; index after each line's last)."""
-    parts = _SPLIT(text)
-    cuts, n = [], 0
-    for i in range(0, len(parts), 2):
-        if not parts[i]:
-            continue
-        n += 1
-        if n >= LEAST and (n >= MOST or _ends[parts[i]] or (i + 1 < len(parts) and "\n" in parts[i + 1])):
-            cuts.append(i + 1)
-            n = 0
-    if n:
-        cuts.append(len(parts))
-    elif cuts:
-        cuts[-1] = len(parts)
-    return parts, cuts
+def lines_of(text: str) -> tuple[list[bytes], list[int]]:
+    """(words, ASCII letters as lower case, and BREAK for each newline; index after each line's last)."""
+    tokens = text.encode().lower().replace(BREAK, b"\1").replace(b"\n", b" " + BREAK + b" ").split()
+    cuts, i, n = [], 0, len(tokens)
+    while i < n:
+        j = i + LEAST
+        if BREAK in tokens[i:j]:
+            j, words = i, 0
+            while j < n and words < LEAST:
+                words += tokens[j] != BREAK
+                j += 1
+        if j < n:
+            most = j + MOST - LEAST
+            while j < n and j < most and tokens[j] != BREAK:
+                if not crc32(tokens[j - 1]) % ONE_IN:
+                    break
+                j += 1
+            while j < n and tokens[j] == BREAK:
+                j += 1
+        else:
+            j = n
+        cuts.append(j)
+        i = j
+    return tokens, cuts
 
 
-def windows_of(parts: list[str], cuts: list[int]) -> np.ndarray:
+def windows_of(tokens: list[bytes], cuts: list[int]) -> np.ndarray:
     """Hashes of each three consecutive lines, as signed longs."""
     if len(cuts) < 3:
         return np.empty(0, np.int64)
-    starts = [0, *(c + c % 2 for c in cuts[:-1])]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(" ".join([x for x in parts[a:b:2] if x]).encode().lower()) for a, b in zip(starts, cuts)], np.uint64)
+    digest, join, a, each = xxhash.xxh64_intdigest, b" ".join, 0, []
+    for b in cuts:
+        line = join(tokens[a:b])
+        each.append(digest(line.replace(b" " + BREAK, b"").replace(BREAK + b" ", b"") if BREAK in line else line))
+        a = b
+    h = np.array(each, np.uint64)
     w = (h[:-2] * _MIX[0]) ^ (h[1:-1] * _MIX[1]) ^ (h[2:] * _MIX[2])
     w = (w ^ (w >> np.uint64(29))) * _MIX[0]
     return (w ^ (w >> np.uint64(32))).view(np.int64)
 
 
-def without(text: str | None, later: set[int] | None) -> tuple[str | None, int, int, int]:
-    """(text without later occurrences, lines, lines removed, words removed)."""
-    parts, cuts = lines_of(text or "")
-    found = windows_of(parts, cuts).tolist()
+def without(text: str, later: set[int]) -> tuple[str, int, int]:
+    """(text without later occurrences, lines removed, words removed)."""
+    tokens, cuts = lines_of(text)
     gone, seen = set(), set()
-    for i, h in enumerate(found):
-        if h in seen or (later and h in later):
+    for i, h in enumerate(windows_of(tokens, cuts).tolist()):
+        if h in seen or h in later:
             gone.update((i, i + 1, i + 2))
         seen.add(h)
     if not gone:
-        return text, len(cuts), 0, 0
-    out, words, a = [], 0, 0
+        return text, 0, 0
+    parts = _SPLIT(text)  # words and the white space between them, alternating
+    out, removed, a, at, place = [], 0, 0, 0, 0 if parts[0] else 2
     for i, b in enumerate(cuts):
-        stop = b + (b % 2)
+        words = b - a - tokens[a:b].count(BREAK)
+        place += 2 * words
+        stop = place if i < len(cuts) - 1 else len(parts)
         if i not in gone:
-            out.append("".join(parts[a:stop]))
+            out.append("".join(parts[at:stop]))
         else:
-            words += sum(1 for x in parts[a:b:2] if x)
+            removed += words
             if out and i - 1 not in gone:
                 out[-1] = out[-1].rstrip(" \t\n\x0b\x0c\r") + "\n"
-        a = stop
-    return "".join(out), len(cuts), len(gone), words
+        a, at = b, stop
+    return "".join(out), len(gone), removed
+
+
+_FOUND = "struct<windows:array<bigint>,repeats:boolean>"
+_LEFT = "struct<text:string,removed_lines:bigint,removed_words:bigint>"
 
 
 def _windows(text: Column) -> Column:
-    @F.arrow_udf("array<bigint>")
+    """A text's distinct windows, and whether one repeats within it."""
+
+    @F.arrow_udf(_FOUND)
     def line_windows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            each = [np.unique(windows_of(*lines_of(x.as_py() or ""))) for x in batch]
+            each, twice = [], []
+            for x in batch:
+                w = windows_of(*lines_of(x.as_py() or ""))
+                each.append(np.unique(w))
+                twice.append(len(each[-1]) < len(w))
             ends = np.cumsum([0, *map(len, each)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*each, np.empty(0, np.int64)]).astype(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*each, np.empty(0, np.int64)]).astype(np.int64)))
+            yield pa.StructArray.from_arrays([lists, pa.array(twice, pa.bool_())], ["windows", "repeats"])
 
     return line_windows(text)
 
 
 def _rebuilt(text: Column, later: Column) -> Column:
-    @F.arrow_udf("struct<text:string,n_lines:bigint,removed_lines:bigint,removed_words:bigint>")
+    """What is left of a text; null for a null one."""
+
+    @F.arrow_udf(_LEFT)
     def without_later(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("removed_lines", pa.int64()), ("removed_words", pa.int64())])
+        kind = pa.struct([("text", pa.string()), ("removed_lines", pa.int64()), ("removed_words", pa.int64())])
         for texts, lists in batches:
-            rows = [without(t.as_py(), set(x.as_py() or ())) for t, x in zip(texts, lists)]
-            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)] if rows else [pa.array([], f.type) for f in kind], fields=list(kind))
+            rows = [None if (t := x.as_py()) is None else dict(zip(kind.names, without(t, set(y.as_py() or ())))) for x, y in zip(texts, lists)]
+            yield pa.array(rows, kind)
 
     return without_later(text, later)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, any others) with text as it remains, and n_lines, removed_lines and removed_words."""
+    """docs (doc_id, text, any others) with text as it remains, and removed_lines and removed_words."""
     prepare(docs.sparkSession)
     # Where a row stands among all: by doc_id, and without one at the far end.
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
     own = docs.select(place.alias("place"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
-    found = written(own.select("place", _windows(F.col("in_text")).alias("windows"))).select("place", F.explode("windows").alias("w"))
+    found = written(own.select("place", _windows(F.col("in_text")).alias("f")).select("place", "f.windows", "f.repeats"))
+    rows = found.select("place", F.explode("windows").alias("w"))
     # Summed before they are dealt out by window, a window of a third of all documents is a few rows.
-    first = found.groupBy("w").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("w", "first")
-    later = found.join(first, "w").where("place > first").groupBy("place").agg(F.collect_set("w").alias("later"))
-    made = ("n_lines", "removed_lines", "removed_words")
-    out = own.join(later, "place", "left").withColumn("made", _rebuilt(F.col("in_text"), F.col("later")))
-    return out.select(*[(F.col("made.text") if c == "text" else F.col(f"in_{c}")).alias(c) for c in docs.columns if c not in made], *[F.col(f"made.{c}").alias(c) for c in made])
+    first = rows.groupBy("w").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("w", "first")
+    later = rows.join(first, "w").where("place > first").select("place", "w")
+    touched = later.unionByName(found.where("repeats").select("place", F.lit(None).cast("long").alias("w"))).groupBy("place").agg(F.collect_set("w").alias("later"))
+    # Python sees only the texts of which something goes.
+    joined = own.join(touched, "place", "left")
+    made = ("removed_lines", "removed_words")
+    out = joined.withColumn("made", _rebuilt(F.when(F.col("later").isNotNull(), F.col("in_text")), F.col("later")))
+    text = F.when(F.col("later").isNotNull(), F.col("made.text")).otherwise(F.col("in_text"))
+    return out.select(*[(text if c == "text" else F.col(f"in_{c}")).alias(c) for c in docs.columns if c not in made], *[F.coalesce(f"made.{c}", F.lit(0)).cast("long").alias(c) for c in made])
