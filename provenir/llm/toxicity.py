@@ -61,25 +61,32 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def fit(rows: list[tuple[list[str], int]], identities: tuple = IDENTITIES, fairness: float = FAIRNESS) -> Model:
-    """A model of (words, label) rows."""
-    n, sets, y = len(rows), [set(w) for w, _ in rows], np.array([label for _, label in rows], float)
-    positive = y.sum() if n else 0
-    if not 0 < positive < n:
-        return Model(intercept=-700.0 if not positive else 700.0)
-    seen: dict[str, list[int]] = {}
-    for words, (_, label) in zip(sets, rows):
-        for w in words:
+def chi2(n, positive, both, with_word):
+    """Chi-squared of a word and label 1, from numbers of texts: all, labelled 1, with the word and so labelled, with the
+    word. Of numbers or of columns."""
+    a, b, c = both, with_word - both, positive - both
+    d = n - positive - b
+    return n * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * positive * (n - positive))
+
+
+def select(rows: list[tuple[list[str], int]], identities: tuple = IDENTITIES) -> list[str]:
+    """The vocabulary of (words, label) rows: words that go with the label, and the identity terms that occur."""
+    n, positive, seen = len(rows), sum(label for _, label in rows), {}
+    for words, label in rows:
+        for w in set(words):
             seen.setdefault(w, [0, 0])[label] += 1
     terms = {w for kind in identities for w in kind}
+    tested = sorted((-chi2(n, positive, a, a + b), w) for w, (b, a) in seen.items() if LEAST_DOCS <= a + b < n and w not in terms)
+    return [w for x, w in tested[:VOCABULARY] if -x >= LEAST_CHI2] + sorted(terms & seen.keys())
 
-    def chi2(w: str) -> float:
-        b, a = seen[w]
-        c, d = positive - a, n - positive - b
-        return n * (a * d - b * c) ** 2 / max(1e-9, (a + b) * (c + d) * positive * (n - positive))
 
-    tested = sorted(((-chi2(w), w) for w, (b, a) in seen.items() if a + b >= LEAST_DOCS and w not in terms))
-    kept = [w for x, w in tested[:VOCABULARY] if -x >= LEAST_CHI2] + sorted(terms & seen.keys())
+def fit(rows: list[tuple[list[str], int]], identities: tuple = IDENTITIES, fairness: float = FAIRNESS, vocabulary: list[str] | None = None) -> Model:
+    """A model of (words, label) rows; words beyond the vocabulary don't matter."""
+    n, sets, y = len(rows), [set(w) for w, _ in rows], np.array([label for _, label in rows], float)
+    positive = y.sum() if n else 0
+    if not 0 < positive < n:
+        return Model(intercept=-700.0 if not positive else 700.0)
+    kept = select(rows, identities) if vocabulary is None else vocabulary
     at = {w: i + 1 for i, w in enumerate(kept)}
 
     def dense(sets: list[set[str]]) -> np.ndarray:
@@ -117,10 +124,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in texts:
             yield pa.array([sorted(words_of(x.as_py())) for x in batch], pa.list_(pa.string()))
 
-    # At most sample rows of an id and a label go to all executors, and as many sets of words come back.
+    # At most sample rows of an id and a label go to all executors.
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", words("text").alias("words"), "label")
-    rows = joined.orderBy("doc_id", F.xxhash64("words")).limit(sample).toArrow()
-    return fit(list(zip(rows["words"].to_pylist(), rows["label"].to_pylist())))
+    rows = joined.orderBy("doc_id", F.xxhash64("words")).limit(sample).checkpoint()
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < positive < n:
+        return fit([([], 0)] * (n - positive) + [([], 1)] * positive)
+    # Words are tested where they are; the driver gets the vocabulary, and of each text its words in it.
+    terms = sorted({w for kind in IDENTITIES for w in kind})
+    counts = rows.select(F.explode("words").alias("w"), "label").groupBy("w").agg(F.count("*").alias("n"), F.sum("label").alias("a"))
+    number = lambda x: F.lit(float(x))
+    tested = counts.where((F.col("n") >= LEAST_DOCS) & (F.col("n") < n) & ~F.col("w").isin(terms)).withColumn("x", chi2(number(n), number(positive), F.col("a").cast("double"), F.col("n").cast("double")))
+    found = [r["w"] for r in tested.where(F.col("x") >= LEAST_CHI2).orderBy(F.col("x").desc(), "w").limit(VOCABULARY).collect()]
+    found += sorted(r["w"] for r in counts.where(F.col("w").isin(terms)).collect())
+    held = rows.select(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted({*found, *terms})])).alias("words"), "label").toArrow()
+    return fit(list(zip(held["words"].to_pylist(), held["label"].to_pylist())), vocabulary=found)
 
 
 def score(text: Column, model: Model) -> Column:
