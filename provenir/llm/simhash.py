@@ -128,9 +128,10 @@ def simhash_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Of repeated rows of that doc_id and text one stays. Rows without doc_id come after all others."""
     prepare(docs.sparkSession)
-    row = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_key": F.xxhash64("text")}
-    narrow = docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp"), *[v.alias(k) for k, v in row.items()]).checkpoint()
+    own = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), F.xxhash64("text").alias("key"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+    narrow = own.select(F.col("in_doc_id").alias("doc_id"), fingerprint(F.col("in_text"), words).alias("fp"), "id", "key").checkpoint()
     classes = narrow.join(fingerprint_classes(narrow.select("doc_id", "fp")), "fp")
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_id")).alias("at"))
-    stay = first.select("at._id", "at._key")
-    return docs.withColumns(row).join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "id")).alias("at"))
+    stay = first.select("at.id", "at.key")
+    kept = own.join(stay, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
