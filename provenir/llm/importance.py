@@ -87,12 +87,12 @@ def importance_resample(docs: DataFrame, target: DataFrame, share: float, seed:
     own = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
     tie = text_key(F.lit(str(seed)), F.col("in_doc_id").cast("string"), F.col("in_text"))
     keyed = own.withColumns({"lw": log_weight(F.col("in_text"), ratio), "tie": tie})
-    keyed = keyed.withColumn("g", F.col("lw") - F.log(-F.log(uniform(F.col("tie"))))).withColumn("id", F.col("in_doc_id"))
-    narrow = keyed.select("g", "tie").checkpoint()
+    keyed = keyed.withColumn("g", F.col("lw") - F.log(-F.log(uniform(F.col("tie")))))
+    narrow = keyed.select("g", "tie", F.lit("all").alias("group")).checkpoint()
     span = narrow.agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).first()
     width = max((span["hi"] or 0.0) - (span["lo"] or 0.0), 1e-9)
     x = (F.lit(span["hi"] or 0.0) - F.col("g")) / F.lit(width)
-    rows = narrow.select(F.lit("all").alias("group"), x.alias("x"), "tie", F.lit(1).cast("long").alias("w"))
+    rows = narrow.select("group", x.alias("x"), "tie", F.lit(1).cast("long").alias("w"))
     goals = docs.sparkSession.createDataFrame([("all", float(round(share * span["n"])))], "group string, goal double")
     cut = prefix_cut(rows, goals, levels=3).first()
     kept = is_before_cut(x, F.col("tie")) if cut else F.lit(False)
