@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import prepare
+from provenir.llm.common import prepare, salted_join
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,9 @@ def secret_scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "findings"))
     held = known.where(F.size("findings") > 0).select("blob", "findings")
     kept = versions.select(*[F.col(f"`{c}`") for c in versions.columns if c not in ("blob", "findings")]).withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = kept.join(held, "blob", "left")
+    # A blob of very many paths is dealt to several tasks by what else a version says; held has only blobs with findings.
+    rest = [F.col(f"`{c}`") for c in kept.columns if c not in ("text", "blob")]
+    joined = salted_join(kept, held, "blob", F.xxhash64(*rest) if rest else F.lit(0))
     return joined.withColumn("findings", F.coalesce("findings", F.array().cast(held.schema["findings"].dataType))), new
 
 
