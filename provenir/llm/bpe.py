@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,92 +23,88 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces remembered by one Python worker, and the longest that is; more are forgotten, not refused.
-CACHED_PIECES, CACHED_CHARS = 200_000, 48
-
-
-class RankQueue:
-    """A priority queue of (rank, position), least rank first and leftmost first within a rank."""
-
-    __slots__ = ("buckets", "low", "mid", "top")
-
-    def __init__(self, ranks: int):
-        self.top, self.mid, self.low = 0, [0] * ((ranks >> 12) + 1), [0] * ((ranks >> 6) + 1)
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        a = (self.top & -self.top).bit_length() - 1
-        m = self.mid[a]
-        b = (a << 6) + (m & -m).bit_length() - 1
-        w = self.low[b]
-        rank = (b << 6) + (w & -w).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] = w = w & (w - 1)
-            if not w:
-                self.mid[a] = m = m & (m - 1)
-                if not m:
-                    self.top &= self.top - 1
-        return rank, position
+#: Pieces that a generation of a Python worker's cache holds, and the longest that is kept; others are encoded anew.
+CACHED_PIECES, CACHED_CHARS = 250_000, 48
 
 
 class Encoder:
+    """Encodes pieces by ranks; the queue's words and buckets are kept from piece to piece, empty between them."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.queue = ranks, RankQueue(max(ranks.values()) + 1)
-        self.find, self.cache = regex.compile(pattern).findall, _Cache(self)
+        n = max(ranks.values()) + 1
+        self.ranks, self.pattern, self.find, self.cache = ranks, pattern, regex.compile(pattern).findall, _Cache(self)
+        #: Bit r of low says that bucket r holds something, a bit of mid that a word of low is not 0.
+        self.low, self.mid = [0] * ((n >> 6) + 1), [0] * ((n >> 12) + 1)
+        self.buckets: dict[int, list[int]] = {}
 
     def piece(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        ranks, rank_of, queue = self.ranks, self.ranks.get, self.queue
+        rank_of = self.ranks.get
         whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
+        low, mid, buckets, top, n = self.low, self.mid, self.buckets, 0, len(piece)
         after, before = list(range(1, n + 2)), list(range(-1, n))
         pair = [-1] * (n + 1)  # the rank of the pair that begins here, -1 if it is no token
-        push, pop = queue.push, queue.pop
         for i in range(n - 1):
             r = rank_of(piece[i : i + 2])
             if r is not None:
                 pair[i] = r
-                push(r, i)
-        while queue.top:
-            r, i = pop()
-            if pair[i] != r:
-                continue
+                if r in buckets:
+                    buckets[r].append(i)  # ascending, so a heap
+                else:
+                    buckets[r] = [i]
+                    w = r >> 6
+                    low[w] |= 1 << (r & 63)
+                    mid[w >> 6] |= 1 << (w & 63)
+                    top |= 1 << (w >> 6)
+        while top:
+            # The least rank that has a bucket: first set bit of three words.
+            a = (top & -top).bit_length() - 1
+            m = mid[a]
+            b = (a << 6) + (m & -m).bit_length() - 1
+            x = low[b]
+            rank = (b << 6) + (x & -x).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[b] = x = x & (x - 1)
+                if not x:
+                    mid[a] = m = m & (m - 1)
+                    if not m:
+                        top &= top - 1
+            if pair[i] != rank:
+                continue  # stale
             gone = after[i]
-            end = after[gone]
-            after[i], pair[gone], pair[i] = end, -1, -1
+            after[i] = end = after[gone]
+            pair[gone] = -1
             if end < n:
                 before[end] = i
-                r = rank_of(piece[i : after[end]])
-                if r is not None:
-                    pair[i] = r
-                    push(r, i)
-            h = before[i]
-            if h >= 0:
-                r = rank_of(piece[h:end])
-                pair[h] = -1
-                if r is not None:
-                    pair[h] = r
-                    push(r, h)
-        out, i = [], 0
+            for p in (i, before[i]):
+                if p < 0:
+                    continue
+                q = after[p]
+                r = rank_of(piece[p : after[q]]) if q < n else None
+                if r is None:
+                    pair[p] = -1
+                    continue
+                pair[p] = r
+                if r in buckets:
+                    heappush(buckets[r], p)
+                else:
+                    buckets[r] = [p]
+                    w = r >> 6
+                    low[w] |= 1 << (r & 63)
+                    mid[w >> 6] |= 1 << (w & 63)
+                    top |= 1 << (w >> 6)
+        ranks, out, i = self.ranks, [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            out.append(ranks[piece[i:end]])
+            i = end
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -115,20 +112,35 @@ class Encoder:
 
 
 class _Cache(dict):
-    """Packed ids by piece; when full it starts anew."""
+    """Packed ids by piece, in two generations: when the young one is full it becomes the old one, from which what is used
+    again is taken over. Frequent pieces so outlive the many that come once."""
 
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.piece(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.encoder.piece(piece.encode())
+            ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+_kept: list[Encoder] = []
+
+
+def kept_encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """An encoder that a Python worker keeps from task to task, and with it what it remembers."""
+    if not _kept or _kept[0].ranks is not ranks or _kept[0].pattern != pattern:
+        _kept[:] = [Encoder(ranks, pattern)]
+    return _kept[0]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file with a base64 token and its rank on each line."""
     with open(path, "rb") as lines:
@@ -146,7 +158,7 @@ class ByteBpe:
 
         @F.arrow_udf("binary")
         def bpe_encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encoder = Encoder(shared.value, pattern)
+            encoder = kept_encoder(shared.value, pattern)
             for batch in texts:
                 yield pa.array([encoder.encode(x.as_py()) for x in batch], pa.binary())
 

@@ -25,14 +25,14 @@ def test_as_the_library_does(text):
 def test_long_pieces():
     for text in ("a" * 20_000, "ab" * 5_000, "thisisonelongwordwithoutspaces" * 300, "=" * 3000, "é漢😀" * 500, "<|endoftext|>"):
         assert ids(ENCODER.encode(text)) == TRUE.encode_ordinary(text)
-    assert not ENCODER.queue.top and not ENCODER.queue.buckets and not any(ENCODER.queue.low) and not any(ENCODER.queue.mid)
+    assert not ENCODER.buckets and not any(ENCODER.low) and not any(ENCODER.mid)
 
 
-def test_queue_order():
-    q = bpe.RankQueue(50_000)
-    for r, p in [(49_999, 1), (64, 9), (64, 2), (0, 5), (4096, 3), (64, 4)]:
-        q.push(r, p)
-    assert [q.pop() for _ in range(6)] == [(0, 5), (64, 2), (64, 4), (64, 9), (4096, 3), (49_999, 1)] and not q.top
+def test_cache_forgets_and_encodes_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
+    small = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    text = " some words come again and some words do not: some words, again and again"
+    assert [ids(small.encode(text)) for _ in range(3)] == [TRUE.encode_ordinary(text)] * 3 and len(small.cache) <= 3
 
 
 def test_nasty(spark, nasty, empty):
