@@ -145,18 +145,31 @@ class _Writer:
             self.out = None
 
 
+def packed(html: Column) -> Column:
+    """UTF-8 of a text by Zstandard, so that little is shuffled."""
+
+    @F.arrow_udf("binary")
+    def pack_html(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            yield pa.array([codec.compress((x.as_py() or "").encode(), asbytes=True) for x in batch], pa.binary())
+
+    return pack_html(html)
+
+
 def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
-    """(archive, records): files in folder, each one gzip stream, of pages (page_id, url, html, refers_to)."""
+    """(archive, records): files in folder, each one gzip stream, of pages (page_id, url, refers_to, html packed, size)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = _Writer(folder)
+        writer, codec = _Writer(folder), pa.Codec("zstd")
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4))):
-                writer.add(record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py()))
+            for page_id, url, html, size, refers_to in zip(*(batch.column(i) for i in range(5))):
+                payload = codec.decompress(html.as_buffer(), decompressed_size=size.as_py(), asbytes=True) if size.as_py() else b""
+                writer.add(record(page_id.as_py(), url.as_py(), payload, refers_to.as_py()))
         writer.close()
         yield pa.record_batch({"archive": pa.array([a for a, _ in writer.done], pa.string()), "records": pa.array([n for _, n in writer.done], pa.int64())})
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(write, "archive string, records long")
+    return pages.select("page_id", "url", "html", "size", "refers_to").mapInArrow(write, "archive string, records long")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -222,13 +235,13 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with refers_to: the greatest page_id of those with an equal payload of at least
-    least_bytes, null for that page itself and for smaller payloads."""
+    """pages (page_id, url, html) with html packed, its size in bytes, and refers_to: the greatest page_id of those with an
+    equal payload of at least least_bytes, null for that page itself and for smaller payloads."""
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("key"))
-    holders = keyed.where(F.octet_length(html) >= least_bytes).groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("key", "holder")
-    joined = keyed.join(holders, "key", "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"))
+    keyed = pages.select("page_id", "url", "html", F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("key"))
+    holders = keyed.where(F.col("size") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("key", "holder")
+    joined = keyed.withColumn("html", packed(F.col("html"))).join(holders, "key", "left")
+    return joined.select("page_id", "url", "html", "size", F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

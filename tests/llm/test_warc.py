@@ -3,6 +3,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from provenir.llm import warc
 
@@ -35,6 +36,7 @@ def test_round_trip(spark, least):
 
 def test_each_member_stands_alone(tmp_path, spark):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 50, None) for i in range(20)], "page_id long, url string, html string, refers_to long").coalesce(1)
+    pages = pages.withColumn("size", F.octet_length("html").cast("long")).withColumn("html", warc.packed(F.col("html")))
     raw = warc.write_monolithic(pages, f"{tmp_path}/raw").checkpoint()
     made = warc.normalise(raw, f"{tmp_path}/raw").checkpoint().collect()
     data = b"".join(open(r.archive, "rb").read() for r in made)
