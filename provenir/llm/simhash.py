@@ -8,6 +8,12 @@ ones those 2 bits away. Of three differing bits two lie in the same half of the
 1 from each. A variant is shared by at most 64 + 992 fingerprints whatever the corpus, so no group grows with the data
 and no cap is needed; each is joined to one hub (a star), never to all others.
 
+Radius 3 finds what is all but equal. near_dedup finds every similarity (Jaccard of distinct word shingles) of 0.8 or more
+besides: BANDS hashes of ROWS MinHashes each bring texts of that similarity together with a probability of
+1 - (1 - 0.8**6)**20 = 0.998 or more (SimHashes of such texts are some 10 of 64 bits apart, a ball of thousands of rows a
+text even for shorter fingerprints), and each pair is verified by its shingles. Of those that share a band each is first
+held against one hub; then, where a band has texts of several components, all pairs across these.
+
 Defined results: null and empty texts have fingerprint 0 and are linked to each other and to what is near 0; fewer
 words than a shingle count as one; repeated rows are linked; a component without any doc_id has a null id.
 """
@@ -22,33 +28,65 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import prepare
+from provenir.llm.common import prepare, written
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+#: MinHashes of near_dedup.
+BANDS, ROWS = 20, 6
+_XOR, _MUL = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.array([[0], [1]], np.uint32)
 _LANE = (np.arange(8) * 256).astype(np.uint16)
 
 
 def fingerprint_of(text: str | None, words: int = 3) -> int:
     """64-bit SimHash over the XXH64 of word shingles, repeats included: a bit is set if it is in over half of them."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingles_of(text, words):
+        counts += _bit_counts(h)
+        n += len(h)
+    return _majority(counts, n)
+
+
+def shingles_of(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles in blocks, which bound the memory for very long texts."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return
     line, size = b" ".join(found), len(found)
+    digest = xxhash.xxh64_intdigest
     if size <= words:
-        return xxhash.xxh64_intdigest(line, SEED)
+        yield np.array([digest(line, SEED)], "<u8")
+        return
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, size) + 1) - 1
     starts = np.concatenate(([0], ends[: size - words] + 1)).tolist()
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), size - words + 1
     stops = ends[words - 1 :].tolist()
-    for at in range(0, n, 1 << 16):  # bounded memory for very long texts
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], "<u8")
-        lanes = np.bincount((h.view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048).reshape(8, 256)
-        counts += (lanes @ _BITS).ravel()
+    for at in range(0, size - words + 1, 1 << 16):
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], "<u8")
+
+
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    lanes = np.bincount((h.view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048).reshape(8, 256)
+    return (lanes @ _BITS).ravel()
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
+def sketch_of(text: str | None, words: int) -> tuple[int, int, list[int]]:
+    """(fingerprint, hash of the set of shingles, band hashes); without a word there are no bands."""
+    blocks = list(shingles_of(text, words))
+    if not blocks:
+        return 0, 0, []
+    h = np.concatenate(blocks)
+    fp = _majority(sum(map(_bit_counts, blocks)), len(h))
+    h = np.unique(h)
+    high = (h >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.min([((high[at : at + 512] ^ _XOR) * _MUL).min(0) for at in range(0, len(h), 512)], 0).tobytes()
+    size = 4 * ROWS
+    return fp, xxhash.xxh64_intdigest(h.tobytes(), SEED), [xxhash.xxh64_intdigest(least[k * size : (k + 1) * size], k) for k in range(BANDS)]
+
+
 def fingerprint(text: Column, words: int = 3) -> Column:
     """The fingerprint of a text as a signed long."""
 
@@ -61,6 +99,31 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     return simhash64(text)
 
 
+_SKETCH = "struct<fp:bigint,shingled:bigint,bands:array<bigint>>"
+
+
+def _sketch(text: Column, words: int) -> Column:
+    @F.arrow_udf(_SKETCH)
+    def sketches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            each = [sketch_of(x.as_py(), words) for x in batch]
+            fp, key = (pa.array(np.array([x[k] for x in each], np.uint64).view(np.int64)) for k in (0, 1))
+            ends = pa.array(np.cumsum([0, *(len(x[2]) for x in each)]), pa.int32())
+            bands = pa.ListArray.from_arrays(ends, pa.array(np.array([y for x in each for y in x[2]], np.uint64).view(np.int64)))
+            yield pa.StructArray.from_arrays([fp, key, bands], ["fp", "shingled", "bands"])
+
+    return sketches(text)
+
+
+def _shingle_set(text: Column, words: int) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def shingle_sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([np.unique(np.concatenate([*shingles_of(x.as_py(), words), np.empty(0, "<u8")])).view(np.int64) for x in batch], pa.list_(pa.int64()))
+
+    return shingle_sets(text)
+
+
 def _variants(fps: DataFrame, flips: list[tuple[int, ...]]) -> DataFrame:
     """(variant, fp): each fp with the bits of each flip turned over, dealt out by variant. What is shuffled is the fp
     and the number of the flip, which compress far better than variants; the variant is made again where it arrives."""
@@ -104,12 +167,15 @@ def connected(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def fingerprint_classes(fps: DataFrame) -> DataFrame:
-    """(fp, root, class_id) for each fp of rows (doc_id, fp): its component of near fingerprints and its least doc_id."""
+def fingerprint_classes(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root, class_id) for each fp of rows (doc_id, fp): its component of near fingerprints and its least doc_id.
+
+    more: links (a, b) of fingerprints besides."""
     # Dealt out anew: a node is a few bytes here and a thousand rows in the next step.
     wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")).repartition(wide, "fp").checkpoint()
-    roots = connected(near_fingerprints(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    links = near_fingerprints(nodes.select("fp"))
+    roots = connected(links if more is None else links.unionByName(more)).withColumnRenamed("node", "fp")
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least_id").alias("class_id"))
     return nodes.join(ids, "root").select("fp", "root", "class_id")
@@ -123,14 +189,68 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class_id").alias("component_id"))
 
 
+def _similar(pairs: DataFrame, at: DataFrame, texts: DataFrame, words: int, fifths: int) -> DataFrame:
+    """Those of the pairs (a, b) of shingle sets whose Jaccard similarity is so many fifths or more.
+
+    at: (shingled, id, key), the row of texts (id, key, text) that has each set. A set with many partners is dealt to many tasks."""
+    # Written first, so that its size is known when the texts, which are far larger, are planned.
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("shingled")).distinct().join(at, "shingled"))
+    own = texts.join(wanted, ["id", "key"]).dropDuplicates(["shingled"])
+    sets = written(own.select("shingled", _shingle_set(F.col("text"), words).alias("s")))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(64)))
+    left = salted.join(sets.select(F.col("shingled").alias("a"), F.col("s").alias("s_a")), "a")
+    right = salted.select("b", "salt").distinct().join(sets.select(F.col("shingled").alias("b"), F.col("s").alias("s_b")), "b")
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    return left.join(right, ["b", "salt"]).where(5 * both >= fifths * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+
+
+def similar_sets(sketches: DataFrame, texts: DataFrame, words: int, fifths: int = 4) -> DataFrame:
+    """Links (a, b) that connect the shingle sets of sketches (shingled, bands, id, key) of 0.8 similarity or more."""
+    at = sketches.groupBy("shingled").agg(F.min(F.struct("id", "key")).alias("at")).select("shingled", "at.id", "at.key")
+    rows = sketches.select(F.explode("bands").alias("band"), "shingled").repartition("band")
+    ends = rows.groupBy("band").agg(F.min("shingled").alias("hub"), F.max("shingled").alias("last")).where("hub < last").select("band", "hub")
+    shared = written(rows.join(ends.hint("shuffle_hash"), "band").distinct())
+    stars = written(shared.where("shingled <> hub").select(F.col("shingled").alias("a"), F.col("hub").alias("b")).distinct())
+    links = written(_similar(stars, at, texts, words, fifths))
+    found = connected(links).withColumnRenamed("node", "shingled")
+    placed = shared.join(found, "shingled", "left").select("band", "shingled", F.coalesce("root", "shingled").alias("root"))
+    several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("band")
+    open_ = placed.join(several, "band", "left_semi")
+    left, right = (open_.select("band", F.col("shingled").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    across = left.join(right, "band").where("a > b and root_a <> root_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    return links.unionByName(written(_similar(written(across), at, texts, words, fifths)))
+
+
 def simhash_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row of docs for each component: that with the least doc_id, ties by text (null first), as it came.
 
     Of repeated rows of that doc_id and text one stays. Rows without doc_id come after all others."""
     prepare(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), F.xxhash64("text").alias("key"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+    own = _identified(docs)
     narrow = own.select(F.col("in_doc_id").alias("doc_id"), fingerprint(F.col("in_text"), words).alias("fp"), "id", "key").checkpoint()
-    classes = narrow.join(fingerprint_classes(narrow.select("doc_id", "fp")), "fp")
+    return _firsts(docs, own, narrow, fingerprint_classes(narrow.select("doc_id", "fp")))
+
+
+def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
+    """As simhash_dedup, but similarities of 0.8 or more (Jaccard of the distinct shingles) are linked as well."""
+    prepare(docs.sparkSession)
+    own = _identified(docs)
+    narrow = written(own.select(F.col("in_doc_id").alias("doc_id"), "id", "key", _sketch(F.col("in_text"), words).alias("f")).select("doc_id", "id", "key", "f.*"))
+    links = similar_sets(narrow.select("shingled", "bands", "id", "key"), own.select("id", "key", F.col("in_text").alias("text")), words)
+    fps = narrow.where(F.size("bands") > 0).select("shingled", "fp").distinct()
+    one = fps.groupBy("shingled").agg(F.min("fp").alias("b"))
+    a, b = (one.select(F.col("shingled").alias(k), F.col("b").alias(f"fp_{k}")) for k in "ab")
+    # Equal sets may differ in repeats, and so in fingerprint.
+    more = fps.join(one, "shingled").select(F.col("fp").alias("a"), "b").unionByName(links.join(a, "a").join(b, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+    return _firsts(docs, own, narrow, fingerprint_classes(narrow.select("doc_id", "fp"), more.where("a <> b")))
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), F.xxhash64("text").alias("key"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+
+
+def _firsts(docs: DataFrame, own: DataFrame, narrow: DataFrame, classes: DataFrame) -> DataFrame:
+    classes = narrow.select("doc_id", "fp", "id", "key").join(classes, "fp")
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "id")).alias("at"))
     stay = first.select("at.id", "at.key")
     kept = own.join(stay, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])

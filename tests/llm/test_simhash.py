@@ -104,3 +104,39 @@ def test_long_chain(spark):
 
 def test_empty(empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.simhash_dedup(empty).count() == 0
+
+
+def shingles(text, words=5):
+    found = (text or "").lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def test_edited_copies_are_found(spark):
+    """Copies with 1 to 4 words in a hundred replaced; those of a similarity of 0.8 or more go, and others don't."""
+    rng, rows, similar = random.Random(21), [], {}
+    for k in range(300):
+        words = [f"k{k}w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 500))]
+        rows.append((k, " ".join(words)))
+        for at in rng.sample(range(len(words)), max(1, len(words) * (1 + k % 4) // 100)):
+            words[at] = f"new{k}x{at}"
+        rows.append((1000 + k, " ".join(words).upper() if k % 2 else " ".join(words)))
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        similar[k] = len(a & b) / len(a | b)
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(300)) and sum(s >= 0.8 for s in similar.values()) > 150
+    missed = [k for k, s in similar.items() if s >= 0.8 and 1000 + k in kept]
+    assert len(missed) <= 2 and all(1000 + k in kept for k, s in similar.items() if s < 0.7)
+
+
+def test_a_pair_is_found_whose_hub_is_like_neither(spark):
+    """Every text shares nine parts of ten with the others of a chain; each link counts, also within one band."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(words[k * 10 : k * 10 + 200])) for k in range(20)] + [(50, " ".join(words[390:] + words[:100])), (51, None), (52, ""), (53, " x ")]
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 50, 51, 53} or kept == {0, 50, 52, 53}
+
+
+def test_near_dedup_of_nasty(nasty, empty):
+    got = simhash.near_dedup(nasty)
+    assert got.columns == nasty.columns and {1, 7, 8} <= {r.doc_id for r in got.collect()}
+    assert not any((r.text or "").startswith("no id") for r in got.collect()) and simhash.near_dedup(empty).count() == 0
