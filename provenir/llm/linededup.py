@@ -1,8 +1,11 @@
 """Line dedup by overlapping three-line windows.
 
-A text is read as lines of bounded length: a line ends at a newline, or after a word whose hash says so, once it has
-LEAST words, and at MOST words at the latest. Where a line ends so depends on the words around alone, and a passage that
-stands amid other text is cut the same way wherever it stands, but for its first line or two. Each three consecutive
+A text is read as lines of bounded length. Where a line ends depends on the words around alone: each word has a rank (its
+hash; before a newline a lower one), and a line ends after the word of least rank among the NEAR words on either side. Of
+the words farther than NEAR from such an end, those least among the FEW of them on either side end lines too, and then
+those that are still near none. No line has over MOST words, and whether a word ends one depends on no word over
+NEAR + NEAR + FEW + FEW = 10 away: of a run of 50 words that two texts share, 10 at either end may be cut differently,
+the first common end is one of the next 7 words, and three whole lines of at most 21 words follow it. Each three consecutive
 lines are hashed (ASCII letters as lower case, white space as one space). A window that is found again, in a document
 with a greater doc_id or further down in the same one, is a later occurrence; the lines that later occurrences cover are
 merged and removed. What is removed is kept where it stands first: each removed line has an equal one before it, and the
@@ -27,36 +30,60 @@ from pyspark.sql import functions as F
 
 from provenir.llm.common import prepare, written
 
-LEAST, MOST, ONE_IN = 5, 14, 3
+NEAR, FEW = 3, 2
+MOST = 2 * NEAR + 1
 #: Stands for a newline among a text's words.
 BREAK = b"\0"
 _SPLIT = re.compile(r"([\x20\x09-\x0D]+)").split
+_NONE = np.int64(1 << 40)
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+def least(rank: np.ndarray, reach: int) -> np.ndarray:
+    """Where a rank is less than all up to so many places before it and no greater than those after it."""
+    n = len(rank)
+    wide = np.full(n + 2 * reach, _NONE)
+    wide[reach : reach + n] = rank
+    found = rank < _NONE
+    for k in range(1, reach + 1):
+        found &= (rank < wide[reach - k : reach - k + n]) & (rank <= wide[reach + k : reach + k + n])
+    return found
+
+
+def near(ends: np.ndarray, reach: int) -> np.ndarray:
+    """Places at most so far from an end."""
+    found = ends.copy()
+    for k in range(1, reach + 1):
+        found[k:] |= ends[:-k]
+        found[:-k] |= ends[k:]
+    return found
+
+
+def ends_of(rank: np.ndarray) -> np.ndarray:
+    """Which words end a line."""
+    ends = least(rank, NEAR)
+    taken = near(ends, NEAR)
+    more = least(np.where(taken, _NONE, rank), FEW)
+    return ends | more | ~(taken | near(more, FEW))
+
+
 def lines_of(text: str) -> tuple[list[bytes], list[int]]:
     """(words, ASCII letters as lower case, and BREAK for each newline; index after each line's last)."""
     tokens = text.encode().lower().replace(BREAK, b"\1").replace(b"\n", b" " + BREAK + b" ").split()
-    cuts, i, n = [], 0, len(tokens)
-    while i < n:
-        j = i + LEAST
-        if BREAK in tokens[i:j]:
-            j, words = i, 0
-            while j < n and words < LEAST:
-                words += tokens[j] != BREAK
-                j += 1
-        if j < n:
-            most = j + MOST - LEAST
-            while j < n and j < most and tokens[j] != BREAK:
-                if not crc32(tokens[j - 1]) % ONE_IN:
-                    break
-                j += 1
-            while j < n and tokens[j] == BREAK:
-                j += 1
-        else:
-            j = n
-        cuts.append(j)
-        i = j
+    if not tokens:
+        return tokens, []
+    rank = np.fromiter(map(crc32, tokens), np.int64, len(tokens))
+    if BREAK not in tokens:
+        cuts = (np.flatnonzero(ends_of(rank)) + 1).tolist()
+    else:
+        is_word = np.fromiter(map(BREAK.__ne__, tokens), bool, len(tokens))
+        at = np.flatnonzero(is_word)
+        if not len(at):
+            return tokens, [len(tokens)]
+        after = np.append(at[1:], len(tokens))  # newlines go with the word before them
+        cuts = after[ends_of(np.where(after > at + 1, rank[at] - (1 << 32), rank[at]))].tolist()
+    if not cuts or cuts[-1] < len(tokens):
+        cuts.append(len(tokens))
     return tokens, cuts
 
 

@@ -72,3 +72,36 @@ def test_nasty(nasty, empty):
         by.setdefault(r.doc_id, []).append(r.text)
     assert by[4] == [None] and by[5] == [""] and by[8] == ["x"] and len(by[1]) == 2 and by[1][0] == by[1][1] and by[2] == [""]
     assert ld.line_dedup(empty).count() == 0
+
+
+def test_any_shared_run_of_over_50_words_has_a_common_window():
+    """Planted at random places, amid text and as a paragraph of its own, also where words are few and ranks tie."""
+    rng = random.Random(5)
+    for k in range(1500):
+        words = [f"w{rng.randrange((4000, 60, 6)[k % 3])}" for _ in range(900)]
+        run, sep = " ".join(words[: 51 + k % 10]), (" ", "\n")[k // 3 % 2]
+        found = []
+        for at in (300, 600):
+            before, after = words[at : at + rng.randrange(120)], words[at + 150 : at + 150 + rng.randrange(120)]
+            t = " ".join(before) + sep + run + sep + " ".join(after)
+            assert all(len(x) <= ld.MOST for x in lines(t))
+            own, (tokens, cuts) = ld.windows_of(*ld.lines_of(t)).tolist(), ld.lines_of(t)
+            start, inside, place, spans = len(before), set(), 0, []
+            for a, b in zip([0, *cuts], cuts):
+                n = sum(x != ld.BREAK for x in tokens[a:b])
+                spans.append((place, place + n))
+                place += n
+            for i, w in enumerate(own):
+                if spans[i][0] >= start and spans[i + 2][1] <= start + 51 + k % 10:
+                    inside.add(w)
+            found.append(inside)
+        assert found[0] & found[1]
+
+
+def test_a_planted_run_goes_from_the_later_document(spark):
+    rng, rows = random.Random(6), []
+    for k in range(60):
+        run = " ".join(f"run{k}x{rng.randrange(10**6)}" for _ in range(51))
+        rows += [(2 * k + j, f"{text(rng, rng.randrange(20, 90))} {run} {text(rng, rng.randrange(20, 90))}") for j in (0, 1)]
+    got = {r.doc_id: r.removed_lines for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == 0 and got[2 * k + 1] >= 3 for k in range(60))
