@@ -74,7 +74,8 @@ def normalised(line: Column) -> Column:
 
 
 def removed_words(docs: DataFrame, least: int = LEAST_COPIES, share: float = LINE_SHARE) -> DataFrame:
-    """(host, content, removed): words in lines over the host's limit, for documents (host, content, text) that have some."""
+    """(host, content, removed, frequent): words in lines over the host's limit and those lines' hashes, for documents
+    (host, content, text) that have some."""
     lines = docs.select("host", "content", F.explode(F.split("text", "\n", -1)).alias("line"))
     each = lines.select("host", "content", F.xxhash64(normalised(F.col("line"))).alias("line"), F.regexp_count("line", F.lit(WORD)).alias("words")).where("words > 0")
     held = each.groupBy("host", "content", "line").agg(F.max("words").alias("words"), F.count("*").alias("n"))
@@ -83,12 +84,19 @@ def removed_words(docs: DataFrame, least: int = LEAST_COPIES, share: float = LIN
     counts = held.groupBy("host", "line").agg(F.count("*").alias("docs"))
     hosts = copies.groupBy("host").agg((F.count("*") * share).alias("limit"))
     frequent = counts.where(F.col("docs") > least).join(hosts, "host").where("docs > limit").select("host", "line")
-    gone = held.join(frequent, ["host", "line"], "left_semi").groupBy("host", "content").agg(F.sum(F.col("words") * F.col("n")).alias("removed"))
-    return gone.join(copies, ["host", "content"]).select("host", "content", (F.col("removed") / F.col("copies")).cast("long").alias("removed"))
+    gone = held.join(frequent, ["host", "line"], "left_semi").groupBy("host", "content").agg(F.sum(F.col("words") * F.col("n")).alias("removed"), F.collect_set("line").alias("frequent"))
+    return gone.join(copies, ["host", "content"]).select("host", "content", (F.col("removed") / F.col("copies")).cast("long").alias("removed"), "frequent")
+
+
+def without_lines(text: Column, frequent: Column) -> Column:
+    """A text without its lines of these hashes; as it is where there are none."""
+    stays = lambda x: ~F.array_contains(frequent, F.xxhash64(normalised(x)))
+    return F.when(frequent.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """docs (doc_id, text, a host, any others) with the base measures, base_failed, removed_words and kept."""
+    """docs (doc_id, text, a host, any others) with the base measures, base_failed, removed_words, kept and text_left, the text
+    without its lines over the limit."""
     prepare(docs.sparkSession)
     own = docs.select(F.coalesce(F.concat(F.lit("h"), F.col(f"`{host}`")), F.lit("n")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
     removed = removed_words(own.select("host", "content", "text"))
@@ -98,5 +106,5 @@ def quality_rules(docs: DataFrame, host: str = "source", least_words: int = LEAS
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed")
     depleted = (F.col("removed") > 0) & ((left < least_words) | (left < least_share * F.col("n_words")))
-    made = {**{k: F.col(k) for k in base}, "base_failed": failed, "removed_words": F.col("removed"), "kept": ~failed & ~depleted}
+    made = {**{k: F.col(k) for k in base}, "base_failed": failed, "removed_words": F.col("removed"), "kept": ~failed & ~depleted, "text_left": without_lines(F.col("in_text"), F.col("frequent"))}
     return out.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])

@@ -46,3 +46,17 @@ def test_columns_stay(nasty, empty):
     assert set(nasty.columns) <= set(got.columns) and got.count() == nasty.count() and got.select("host").distinct().count() == 1
     assert quality.quality_rules(empty).count() == 0
     assert quality.quality_rules(nasty.withColumn("host", F.col("source")), host="host").count() == nasty.count()
+
+
+def test_lines_over_the_limit_leave_the_text(spark):
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(26))
+    rows = [(i, f"{own(i)}\n\nHOME  page {i % 3}\n{own(i)} \n home page 7 \n", "big") for i in range(30)] * 2
+    rows += [(100, f"{own(100)}\nhome page 1", "small"), (101, None, "big"), (102, "", "big")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id < 100:
+            assert r.text_left == f"{own(r.doc_id)}\n\n{own(r.doc_id)} \n" and r.removed_words == 6
+            assert len(r.text_left.split()) == r.n_words - r.removed_words
+        else:
+            assert r.text_left == r.text and r.removed_words == 0
