@@ -2,7 +2,8 @@
 
 Every stage takes what the one before it kept and wrote, and its decisions take effect: toxic documents go; later
 occurrences of passages go, and so does a document of which nothing remains; one document of each component of near
-duplicates stays; a document appears as often as the mix takes it; what remains is encoded.
+duplicates stays; a document appears as often as the mix takes it; what remains is encoded, and its
+ids are decoded and held against the text.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    ids = docs.select("doc_id", "source", queries.encoder(spark).encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    coder = queries.encoder(spark)
+    ids = docs.select("doc_id", "source", "text", coder.encode(F.col("text")).alias("ids"))
+    both = ids.select("doc_id", "source", "text", "ids", coder.decode(F.col("ids")).alias("decoded"))
+    same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"), F.lit(False))
+    digest = F.when(same, F.sha2("decoded", 256)).otherwise(F.raise_error(F.concat(F.lit("ids do not decode to the text of doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    return both.select("doc_id", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), digest.alias("decoded_sha256"))
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 """The pipeline over the smallest tables, against brute force stage by stage."""
 
+import hashlib
 import os
 
 import pytest
@@ -45,3 +46,14 @@ def test_stages(spark, tmp_path):
 
     encoder = bpe.Encoder(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     assert sorted((r.doc_id, bytes(r.ids)) for r in outs[4]) == sorted((r.doc_id, encoder.encode(r.text)) for r in outs[3])
+
+
+def test_ids_are_held_against_the_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Some text, é 漢 😀\n\n twice", "s"), (2, "", "s"), (3, None, None)], "doc_id long, text string, source string")
+    for r in corpus_pipeline.encode(spark, docs, SF).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    real = corpus_pipeline.queries.encoder(spark)
+    monkeypatch.setattr(real, "decode", lambda ids: ids)  # as if the ids stood for other bytes
+    monkeypatch.setattr(corpus_pipeline.queries, "encoder", lambda spark: real)
+    with pytest.raises(Exception, match="do not decode"):
+        corpus_pipeline.encode(spark, docs, SF).collect()
