@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WAIVABLE = ("diverged", "regression", "failure_mismatch")
+#: Lanes are an array within each row of the corpus.
+MOST_LANES = 1000
 #: Outcomes that need neither a waiver nor a look.
 AGREE = ("identical", "equivalent", "not_applicable", "consistent_failure", "recovered")
 
 
 def pending(corpus: DataFrame, lanes: DataFrame, observed: DataFrame) -> DataFrame:
     """(path, lane) not yet observed: the corpus by the lanes (a handful, fixed by the campaign), less what was seen."""
-    names = F.array(*[F.lit(r["lane"]) for r in lanes.select("lane").orderBy("lane_order").limit(1000).collect()])
+    found = lanes.select("lane").orderBy("lane_order").limit(MOST_LANES + 1).collect()
+    if len(found) > MOST_LANES:
+        raise ValueError(f"a campaign has at most {MOST_LANES} lanes")
+    names = F.array(*[F.lit(r["lane"]) for r in found])
     wanted = corpus.select("path", F.explode(names).alias("lane"))
     return wanted.join(observed.select("path", "lane"), ["path", "lane"], "left_anti")
 

@@ -276,3 +276,11 @@ def test_empty_tables(spark):
     assert manifests.manifest_diff(none, none, "record_id").count() == 0 and manifests.tree_digest(none, "record_id").count() == 0
     assert chain.verify_chain(spark.createDataFrame([], CHAIN)).count() == 0
     assert conversations.flatten(spark.createDataFrame([], "conv_id string, node_id string, parent string, ord long, text string")).count() == 0
+
+
+def test_pending_takes_all_lanes_or_fails(spark):
+    corpus, seen = spark.createDataFrame([("p",)], "path string"), spark.createDataFrame([("p", "l3")], "path string, lane string")
+    lanes = lambda n: spark.range(n).select(F.concat(F.lit("l"), "id").alias("lane"), F.col("id").cast("int").alias("lane_order"))
+    assert campaign.pending(corpus, lanes(campaign.MOST_LANES), seen).count() == campaign.MOST_LANES - 1
+    with pytest.raises(ValueError, match="lanes"):
+        campaign.pending(corpus, lanes(campaign.MOST_LANES + 1), seen)
