@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,15 +28,34 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where unset (tests), one below the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, local sessions (tests) get one below the
+    warehouse, and any other is an error: a folder of one machine would lose what another wrote."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def prefixed(docs: DataFrame) -> list[Column]:
+    """All columns of docs as in_<name>: nothing that an operator adds begins so, and none is lost or ambiguous."""
+    return [quoted(c).alias(f"in_{c}") for c in docs.columns]
+
+
+def carried(docs: DataFrame, made: Iterable[str]) -> list[Column]:
+    """The prefixed columns under their own names, but for those that the operator makes; names compare without case, as
+    Spark's do."""
+    own = {m.lower() for m in made}
+    return [quoted(f"in_{c}").alias(c) for c in docs.columns if c.lower() not in own]
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read again: a cut in lineage that any executor can read."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
@@ -103,8 +123,23 @@ def is_before_cut(x: Column, tie: Column) -> Column:
     return (x < F.col("cut_x")) | ((x == F.col("cut_x")) & (tie <= F.col("cut_tie")))
 
 
+def dealt_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """rows joined with small (one row a key, with n: its rows in rows), a frequent key dealt to several tasks by spread.
+
+    A key with more than one task's share of the rows that small counts (their number over the shuffle's partitions) goes to
+    as many tasks as it has shares. There are fewer such keys than partitions, so they may be broadcast, and small grows by
+    fewer rows than that. small is read three times: it should be stored. n is dropped."""
+    parts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = small.where(F.col("n") * parts > total).select(*keys, F.ceil(F.col("n") * parts / F.lit(max(total, 1))).cast("int").alias("_shares"))
+    deal = F.when(F.col("_shares").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_shares"))).otherwise(0).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", deal).drop("_shares")
+    right = small.join(F.broadcast(hot), keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares", "n")
+    return left.join(right, [*keys, "_deal"], how).drop("_deal")
+
+
 def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: Column, salts: int = 32) -> DataFrame:
-    """rows left-joined with a table of one row a key; a key with many rows is dealt to several tasks by spread."""
+    """rows left-joined with a table of few rows, one a key; every key is dealt to several tasks by spread."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [key, "_salt"], "left").drop("_salt")

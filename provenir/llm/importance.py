@@ -3,8 +3,10 @@
 Two generative models over hashed n-grams, one of the target texts and one of the raw corpus, are bags of unigrams and
 bigrams in BUCKETS buckets with add-one smoothing. A document's importance weight is the ratio of its probabilities under
 the two, and a sample without replacement in proportion to the weights is drawn by Gumbel top-k: the k documents of
-greatest log weight plus Gumbel noise. Counts are taken over all target and all raw documents; the noise is a hash of the
-document, so reruns agree.
+greatest log weight plus Gumbel noise. The raw model counts all documents, the target model all target texts it is given
+(of labelled documents, labelled_target takes at most TARGET_ROWS); the noise is a hash of the document, so reruns agree.
+The logarithm of a whole text's ratio is a sum over its grams, far wider than the noise where texts are long: the sample
+then is close to the top k by weight, as in the published method.
 
 Defined results: null and empty texts have log weight 0; rows equal in doc_id and text share one draw, and are taken or left
 together; with no target texts all log weights are 0 and the sample is uniform; an empty table gives an empty one.
@@ -21,9 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import is_before_cut, prefix_cut, prepare, text_key, uniform
+from provenir.llm.common import carried, is_before_cut, prefix_cut, prefixed, prepare, quoted, text_key, uniform, written
 
 BUCKETS = 1 << 14
+#: Labelled documents that the target model is fitted on, at most.
+TARGET_ROWS = 50_000
 _TOKENS = re.compile(r"\w+|[^\w\s]").findall
 _STEP = np.uint64(0x9E3779B185EBCA87)
 
@@ -80,22 +84,33 @@ def log_weight(text: Column, ratio: np.ndarray) -> Column:
     return importance(text)
 
 
-def importance_resample(docs: DataFrame, target: DataFrame, share: float, seed: int = 1, buckets: int = BUCKETS) -> DataFrame:
-    """docs (doc_id, text, any others) with log_weight, gumbel_key and kept; share is that of rows to keep."""
+def labelled_target(docs: DataFrame, labels: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
+    """The texts that the target model is fitted on: those of at most so many documents labelled as of good quality (labels:
+    doc_id, quality), which are least by a hash of doc_id. So many ids go to all executors, and no text is shuffled."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    chosen = good.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
+def importance_resample(docs: DataFrame, target: DataFrame, share: float, seed: int = 1, buckets: int = BUCKETS, carry: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, any others) with log_weight, gumbel_key and kept; share is that of rows to keep.
+
+    carry: those of docs' columns that are wanted back (all, if not given). What comes back is written once beside its key,
+    so that each text is read twice: for the raw model, and to be weighed."""
     prepare(docs.sparkSession)
+    made = ("log_weight", "gumbel_key", "kept")
     ratio = log_ratio(counts(target, buckets), counts(docs, buckets))
-    own = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
     tie = text_key(F.lit(str(seed)), F.col("in_doc_id").cast("string"), F.col("in_text"))
-    keyed = own.withColumns({"lw": log_weight(F.col("in_text"), ratio), "tie": tie})
-    keyed = keyed.withColumn("g", F.col("lw") - F.log(-F.log(uniform(F.col("tie")))))
-    narrow = keyed.select("g", "tie", F.lit("all").alias("group")).checkpoint()
-    span = narrow.agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).first()
+    keyed = docs.select(*prefixed(docs)).withColumns({"lw": log_weight(F.col("in_text"), ratio), "tie": tie})
+    wanted = docs if carry is None else docs.select(*map(quoted, carry))
+    back = [quoted(f"in_{c}") for c in wanted.columns if c.lower() not in made]
+    keyed = written(keyed.select(*back, "tie", "lw", (F.col("lw") - F.log(-F.log(uniform(F.col("tie"))))).alias("g")))
+    span = keyed.agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).first()
     width = max((span["hi"] or 0.0) - (span["lo"] or 0.0), 1e-9)
     x = (F.lit(span["hi"] or 0.0) - F.col("g")) / F.lit(width)
-    rows = narrow.select("group", x.alias("x"), "tie", F.lit(1).cast("long").alias("w"))
+    rows = keyed.select(F.lit("all").alias("group"), x.alias("x"), "tie", F.lit(1).cast("long").alias("w"))
     goals = docs.sparkSession.createDataFrame([("all", float(round(share * span["n"])))], "group string, goal double")
     cut = prefix_cut(rows, goals, levels=3).first()
     kept = is_before_cut(x, F.col("tie")) if cut else F.lit(False)
     out = keyed.withColumns({"cut_x": F.lit(cut["cut_x"] if cut else 0.0), "cut_tie": F.lit(cut["cut_tie"] if cut else "")})
-    made = {"log_weight": F.col("lw"), "gumbel_key": F.col("g"), "kept": kept}
-    return out.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+    return out.select(*carried(wanted, made), F.col("lw").alias("log_weight"), F.col("g").alias("gumbel_key"), kept.alias("kept"))

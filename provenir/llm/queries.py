@@ -33,11 +33,10 @@ def op3_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled as of good quality; as many documents are kept as the labels have good ones."""
-    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    """Target: documents labelled as of good quality; the share of documents that is kept is that of good ones in the labels."""
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
     share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    sampled = importance.importance_resample(docs.select("doc_id", "text"), docs.join(good, "doc_id", "left_semi"), 1.0 if share is None else share)
+    sampled = importance.importance_resample(docs, importance.labelled_target(docs, labels), 1.0 if share is None else share, carry=["doc_id"])
     return sampled.select("doc_id", "log_weight", "gumbel_key", "kept")
 
 

@@ -35,3 +35,15 @@ def test_empty(empty, nasty):
     assert importance.importance_resample(empty, empty, 0.5).count() == 0
     assert importance.importance_resample(nasty, empty, 1.0).where("kept").count() == nasty.count()
     assert importance.importance_resample(nasty, empty, 0.0).where("kept").count() == 0
+
+
+def test_the_target_is_bounded_and_no_text_is_shuffled(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("c").alias("Kept"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("quality"))
+    assert importance.labelled_target(docs, labels).count() == 200
+    few = importance.labelled_target(docs, labels.unionByName(labels), most=7)
+    assert few.count() == 7 and few.where("doc_id % 2 = 1").count() == 0
+    assert sorted(few.collect()) == sorted(importance.labelled_target(docs, labels, most=7).collect())
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    narrow = importance.importance_resample(docs, few, 0.5, carry=["doc_id", "Kept"])
+    assert narrow.columns == ["doc_id", "log_weight", "gumbel_key", "kept"] and narrow.where("kept").count() == 250
