@@ -1,42 +1,50 @@
 """Line dedup by overlapping three-line windows.
 
-A text is read as lines of bounded length. Where a line ends depends on the words around alone: each word has a rank (its
-hash; before a newline a lower one), and a line ends after the word of least rank among the NEAR words on either side. Of
-the words farther than NEAR from such an end, those least among the FEW of them on either side end lines too, and then
-those that are still near none. No line has over MOST words, and whether a word ends one depends on no word over
-NEAR + NEAR + FEW + FEW = 10 away: of a run of 50 words that two texts share, 10 at either end may be cut differently,
-the first common end is one of the next 7 words, and three whole lines of at most 21 words follow it. Each three consecutive
-lines are hashed (ASCII letters as lower case, white space as one space). A window that is found again, in a document
-with a greater doc_id or further down in the same one, is a later occurrence; the lines that later occurrences cover are
-merged and removed. What is removed is kept where it stands first: each removed line has an equal one before it, and the
-first of these is not removed.
+A line ends at every newline, and lines without a word don't count. A line of over MOST words is cut into pieces, each a
+line of its own, so that a passage is found amid text as well: each word has a rank (its hash), and a piece ends after the
+word of least rank among the NEAR words on either side. Of the words farther than NEAR from such an end, those least among
+the FEW of them on either side end pieces too, and then those that are still near none. No piece has over MOST words.
+Pieces depend on their own line alone, so equal lines have equal pieces wherever they stand; and whether a word ends one
+depends on no word over NEAR + NEAR + FEW + FEW = 10 away: of a run of 50 words that two texts share, 10 at either end may be
+cut differently, the first common end is one of the next 7 words, and three whole lines of at most 21 words follow it.
+
+Each three consecutive lines are hashed (ASCII letters as lower case, white space as one space). A window that is found
+again, in a document with a greater doc_id or further down in the same one, is a later occurrence; the lines that later
+occurrences cover are merged and removed. What is removed is kept where it stands first: each removed line has an equal
+one before it, and the first of these is not removed.
+
+A window's holders are reduced where they are read, CHUNK windows at a time: all but the first holder of a chunk are later
+ones already, and only the first is dealt out by window. So a window of a third of all documents arrives as one row a chunk,
+windows are shuffled once, and a text meets its own later windows alone.
 
 Defined results: null and empty texts, and those of fewer than three lines, come out as they went in; rows without
-doc_id are ordered after all others, by a hash of their text; rows with the same doc_id count as one document, so
-repeated rows keep or lose the same lines.
+doc_id are ordered after all others, by a hash of their text; ids that are no whole numbers are ordered by a hash; rows
+with the same doc_id, and rows without one that have the same text, count as one document, so repeated rows keep or lose
+the same lines.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.llm.common import prepare, written
+from provenir.llm.common import carried, prefixed, prepare
 
 NEAR, FEW = 3, 2
 MOST = 2 * NEAR + 1
-#: Stands for a newline among a text's words.
-BREAK = b"\0"
+#: Windows that are reduced at a time: some 50 MB.
+CHUNK = 1 << 20
 _SPLIT = re.compile(r"([\x20\x09-\x0D]+)").split
-_NONE = np.int64(1 << 40)
+_NONE = np.int64(1 << 62)
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: A word's weight in its line's hash, by place: odd numbers.
+_PLACE = np.array([pow(0x2545F4914F6CDD1D, 2 * k + 1, 1 << 64) for k in range(MOST)], np.uint64)
 
 
 def least(rank: np.ndarray, reach: int) -> np.ndarray:
@@ -60,43 +68,45 @@ def near(ends: np.ndarray, reach: int) -> np.ndarray:
 
 
 def ends_of(rank: np.ndarray) -> np.ndarray:
-    """Which words end a line."""
+    """Which words end a piece."""
     ends = least(rank, NEAR)
     taken = near(ends, NEAR)
     more = least(np.where(taken, _NONE, rank), FEW)
     return ends | more | ~(taken | near(more, FEW))
 
 
-def lines_of(text: str) -> tuple[list[bytes], list[int]]:
-    """(words, ASCII letters as lower case, and BREAK for each newline; index after each line's last)."""
-    tokens = text.encode().lower().replace(BREAK, b"\1").replace(b"\n", b" " + BREAK + b" ").split()
-    if not tokens:
-        return tokens, []
-    rank = np.fromiter(map(crc32, tokens), np.int64, len(tokens))
-    if BREAK not in tokens:
-        cuts = (np.flatnonzero(ends_of(rank)) + 1).tolist()
-    else:
-        is_word = np.fromiter(map(BREAK.__ne__, tokens), bool, len(tokens))
-        at = np.flatnonzero(is_word)
-        if not len(at):
-            return tokens, [len(tokens)]
-        after = np.append(at[1:], len(tokens))  # newlines go with the word before them
-        cuts = after[ends_of(np.where(after > at + 1, rank[at] - (1 << 32), rank[at]))].tolist()
-    if not cuts or cuts[-1] < len(tokens):
-        cuts.append(len(tokens))
-    return tokens, cuts
-
-
-def windows_of(tokens: list[bytes], cuts: list[int]) -> np.ndarray:
+def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, ASCII letters as lower case; index after each line's last word)."""
+    tokens: list[bytes] = []
+    sizes: list[int] = []
+    for line in text.encode().lower().split(b"\n"):
+        words = line.split()
+        if words:
+            tokens += words
+            sizes.append(len(words))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    size = np.array(sizes, np.int64)
+    stops = np.cumsum(size)
+    if not (size > MOST).any():
+        return hashes, stops
+    # Lines are laid out NEAR places apart, so that no word of one is near a word of another.
+    line = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(hashes)) + NEAR * line
+    rank = np.full(int(at[-1]) + NEAR, _NONE)
+    rank[at] = (hashes >> np.uint64(2)).view(np.int64)
+    ends = ends_of(rank)[at] & (size > MOST)[line]
+    ends[stops - 1] = True
+    return hashes, np.flatnonzero(ends) + 1
+
+
+def windows_of(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Hashes of each three consecutive lines, as signed longs."""
     if len(cuts) < 3:
         return np.empty(0, np.int64)
-    digest, join, a, each = xxhash.xxh64_intdigest, b" ".join, 0, []
-    for b in cuts:
-        line = join(tokens[a:b])
-        each.append(digest(line.replace(b" " + BREAK, b"").replace(BREAK + b" ", b"") if BREAK in line else line))
-        a = b
-    h = np.array(each, np.uint64)
+    starts = np.concatenate(([0], cuts[:-1]))
+    place = np.arange(len(hashes)) - np.repeat(starts, cuts - starts)
+    h = np.add.reduceat((hashes ^ (hashes >> np.uint64(31))) * _PLACE[place], starts)
+    h = (h ^ (h >> np.uint64(29))) * _MIX[1]
     w = (h[:-2] * _MIX[0]) ^ (h[1:-1] * _MIX[1]) ^ (h[2:] * _MIX[2])
     w = (w ^ (w >> np.uint64(29))) * _MIX[0]
     return (w ^ (w >> np.uint64(32))).view(np.int64)
@@ -104,50 +114,74 @@ def windows_of(tokens: list[bytes], cuts: list[int]) -> np.ndarray:
 
 def without(text: str, later: set[int]) -> tuple[str, int, int]:
     """(text without later occurrences, lines removed, words removed)."""
-    tokens, cuts = lines_of(text)
+    hashes, cuts = lines_of(text)
     gone, seen = set(), set()
-    for i, h in enumerate(windows_of(tokens, cuts).tolist()):
+    for i, h in enumerate(windows_of(hashes, cuts).tolist()):
         if h in seen or h in later:
             gone.update((i, i + 1, i + 2))
         seen.add(h)
     if not gone:
         return text, 0, 0
     parts = _SPLIT(text)  # words and the white space between them, alternating
-    out, removed, a, at, place = [], 0, 0, 0, 0 if parts[0] else 2
-    for i, b in enumerate(cuts):
-        words = b - a - tokens[a:b].count(BREAK)
-        place += 2 * words
-        stop = place if i < len(cuts) - 1 else len(parts)
+    out, removed, a, at, first = [], 0, 0, 0, 0 if parts[0] else 2
+    for i, b in enumerate(cuts.tolist()):
+        stop = first + 2 * b if i < len(cuts) - 1 else len(parts)
         if i not in gone:
             out.append("".join(parts[at:stop]))
         else:
-            removed += words
+            removed += b - a
             if out and i - 1 not in gone:
                 out[-1] = out[-1].rstrip(" \t\n\x0b\x0c\r") + "\n"
         a, at = b, stop
     return "".join(out), len(gone), removed
 
 
-_FOUND = "struct<windows:array<bigint>,repeats:boolean>"
 _LEFT = "struct<text:string,removed_lines:bigint,removed_words:bigint>"
 
 
-def _windows(text: Column) -> Column:
-    """A text's distinct windows, and whether one repeats within it."""
-
-    @F.arrow_udf(_FOUND)
-    def line_windows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            each, twice = [], []
-            for x in batch:
-                w = windows_of(*lines_of(x.as_py() or ""))
-                each.append(np.unique(w))
-                twice.append(len(each[-1]) < len(w))
-            ends = np.cumsum([0, *map(len, each)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*each, np.empty(0, np.int64)]).astype(np.int64)))
-            yield pa.StructArray.from_arrays([lists, pa.array(twice, pa.bool_())], ["windows", "repeats"])
-
-    return line_windows(text)
+def _reduced(windows: list[np.ndarray], p: np.ndarray, q: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
+    """A chunk's rows (w, p, q, known) of documents at (p, q): the first holder of each window; those that are known to be
+    later; and a row without window for each document that repeats one."""
+    order = np.lexsort((q, p))
+    w = np.concatenate([np.empty(0, np.int64), *(windows[i] for i in order)])
+    holder = np.repeat(order, [len(windows[i]) for i in order])
+    by = np.argsort(w, kind="stable")
+    w, holder = w[by], holder[by]
+    new = np.ones(len(w), bool)
+    new[1:] = w[1:] != w[:-1]
+    first = holder[np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))]
+    stays = new | (p[holder] != p[first]) | (q[holder] != q[first])
+    again = np.flatnonzero(twice)
+    at = np.concatenate([holder[stays], again])
+    seen = pa.array(np.concatenate([w[stays], np.zeros(len(again), np.int64)]), pa.int64(), mask=np.arange(len(at)) >= len(at) - len(again))
+    known = np.concatenate([~new[stays], np.ones(len(again), bool)])
+    return pa.record_batch({"w": seen, "p": pa.array(p[at]), "q": pa.array(q[at]), "known": pa.array(known)})
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, p, q, known) of rows (p, q, text), reduced a chunk at a time."""
+    windows, ps, qs, twice, size = [], [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        out = _reduced(windows, np.array(ps, np.int64), np.array(qs, np.int64), np.array(twice, bool))
+        for x in (windows, ps, qs, twice):
+            x.clear()
+        return out
+
+    for batch in batches:
+        for p, q, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            found = windows_of(*lines_of(text.as_py() or ""))
+            own = np.unique(found)
+            windows.append(own)
+            twice.append(len(own) < len(found))
+            ps.append(p)
+            qs.append(q)
+            size += len(own)
+            if size >= CHUNK:
+                yield flush()
+                size = 0
+    if windows:
+        yield flush()
 
 
 def _rebuilt(text: Column, later: Column) -> Column:
@@ -163,21 +197,28 @@ def _rebuilt(text: Column, later: Column) -> Column:
     return without_later(text, later)
 
 
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    """Where a row stands among all: by doc_id, and without one at the far end by a hash of its text."""
+    i, last = F.col("in_doc_id"), F.lit((1 << 63) - 1)
+    whole = docs.schema[[c.lower() for c in docs.columns].index("doc_id")].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = i.cast("long") if whole else F.when(i.isNotNull(), F.xxhash64(i.cast("string")))
+    return F.coalesce(number, last), F.when(i.isNull(), F.xxhash64("in_text")).otherwise(0).cast("long")
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any others) with text as it remains, and removed_lines and removed_words."""
     prepare(docs.sparkSession)
-    # Where a row stands among all: by doc_id, and without one at the far end.
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
-    own = docs.select(place.alias("place"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
-    found = written(own.select("place", _windows(F.col("in_text")).alias("f")).select("place", "f.windows", "f.repeats"))
-    rows = found.select("place", F.explode("windows").alias("w"))
-    # Summed before they are dealt out by window, a window of a third of all documents is a few rows.
-    first = rows.groupBy("w").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("w", "first")
-    later = rows.join(first, "w").where("place > first").select("place", "w")
-    touched = later.unionByName(found.where("repeats").select("place", F.lit(None).cast("long").alias("w"))).groupBy("place").agg(F.collect_set("w").alias("later"))
-    # Python sees only the texts of which something goes.
-    joined = own.join(touched, "place", "left")
     made = ("removed_lines", "removed_words")
+    p, q = _place(docs)
+    own = docs.select(*prefixed(docs)).withColumns({"p": p, "q": q})
+    rows = own.select("p", "q", "in_text").mapInArrow(_holders, "w long, p long, q long, known boolean")
+    # A row that is known to be later needs no other: it is dealt out by itself, however many hold its window.
+    rows = rows.withColumn("g", F.when(F.col("known"), F.xxhash64("w", "p", "q")).otherwise(F.col("w")))
+    first = F.min(F.struct("p", "q")).over(Window.partitionBy("g", "known"))
+    later = rows.withColumn("first", first).where(F.col("known") | (F.struct("p", "q") > F.col("first")))
+    touched = later.groupBy("p", "q").agg(F.collect_set("w").alias("later"))
+    # Merged at every size. Python sees only the texts of which something goes.
+    joined = own.join(touched.hint("merge"), ["p", "q"], "left")
     out = joined.withColumn("made", _rebuilt(F.when(F.col("later").isNotNull(), F.col("in_text")), F.col("later")))
-    text = F.when(F.col("later").isNotNull(), F.col("made.text")).otherwise(F.col("in_text"))
-    return out.select(*[(text if c == "text" else F.col(f"in_{c}")).alias(c) for c in docs.columns if c not in made], *[F.coalesce(f"made.{c}", F.lit(0)).cast("long").alias(c) for c in made])
+    out = out.withColumn("in_text", F.when(F.col("later").isNotNull(), F.col("made.text")).otherwise(F.col("in_text")))
+    return out.select(*carried(docs, made), *[F.coalesce(f"made.{c}", F.lit(0)).cast("long").alias(c) for c in made])

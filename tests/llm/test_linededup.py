@@ -6,15 +6,20 @@ from provenir.llm import linededup as ld
 
 def lines(text):
     """Each line's words as they stand in the text."""
-    tokens, cuts = ld.lines_of(text or "")
+    _, cuts = ld.lines_of(text or "")
     words, out, a = iter(re.findall(r"[^\x20\x09-\x0D]+", text or "")), [], 0
-    for b in cuts:
-        out.append([next(words) for t in tokens[a:b] if t != ld.BREAK])
+    for b in cuts.tolist():
+        out.append([next(words) for _ in range(b - a)])
         a = b
     assert next(words, None) is None
     return out
 
 
+def split(text):
+    """The lines of a text that hold a word, by their newlines alone."""
+    return [re.findall(r"[^\x20\x09-\x0D]+", x) for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+
+
 def plain(rows):
     """Rows (doc_id, text) in order; equal doc_ids are one document."""
     first, out = {}, {}
@@ -85,12 +90,8 @@ def test_any_shared_run_of_over_50_words_has_a_common_window():
             before, after = words[at : at + rng.randrange(120)], words[at + 150 : at + 150 + rng.randrange(120)]
             t = " ".join(before) + sep + run + sep + " ".join(after)
             assert all(len(x) <= ld.MOST for x in lines(t))
-            own, (tokens, cuts) = ld.windows_of(*ld.lines_of(t)).tolist(), ld.lines_of(t)
-            start, inside, place, spans = len(before), set(), 0, []
-            for a, b in zip([0, *cuts], cuts):
-                n = sum(x != ld.BREAK for x in tokens[a:b])
-                spans.append((place, place + n))
-                place += n
+            own, cuts = ld.windows_of(*ld.lines_of(t)).tolist(), ld.lines_of(t)[1].tolist()
+            start, inside, spans = len(before), set(), list(zip([0, *cuts], cuts))
             for i, w in enumerate(own):
                 if spans[i][0] >= start and spans[i + 2][1] <= start + 51 + k % 10:
                     inside.add(w)
@@ -105,3 +106,73 @@ def test_a_planted_run_goes_from_the_later_document(spark):
         rows += [(2 * k + j, f"{text(rng, rng.randrange(20, 90))} {run} {text(rng, rng.randrange(20, 90))}") for j in (0, 1)]
     got = {r.doc_id: r.removed_lines for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[2 * k] == 0 and got[2 * k + 1] >= 3 for k in range(60))
+
+
+def test_lines_are_lines():
+    """Lines of few words are those between newlines; longer ones are cut within, and the same wherever they stand."""
+    rng = random.Random(7)
+    for _ in range(200):
+        short = "\n".join(" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(0, 8))) for _ in range(rng.randrange(1, 30)))
+        assert lines(short) == split(short)
+        whole = ["".join(f"w{rng.randrange(50)} " for _ in range(rng.randrange(1, 40))) for _ in range(6)]
+        for t in ("\n".join(whole), "before \n\n" + "\n".join(whole) + "\n \t\nafter it"):
+            cut = lines(t)
+            assert all(len(x) <= ld.MOST for x in cut) and [w for x in cut for w in x] == t.split()
+            inside = cut if t.startswith(whole[0]) else cut[1:-1]
+            assert inside == [piece for line in whole for piece in lines(line)]
+
+
+def test_a_menu_of_four_short_lines_goes(spark):
+    menu = "Home\nAbout us\nContact\nImprint"
+    rng = random.Random(8)
+    rows = [(i, f"{text(rng, 30)}\n{menu if i % 2 else menu.upper()}\n{text(rng, 30)}") for i in range(12)]
+    rows += [(50, f"Home\nAbout us\nsomething else {text(rng, 9)}")]
+    got = {r.doc_id: r for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[0].removed_lines == 0 and got[50].removed_lines == 0
+    assert all(got[i].removed_lines == 4 and got[i].removed_words == 5 and "about" not in got[i].text.lower() for i in range(1, 12))
+
+
+def test_windows_of_real_lines_against_brute_force(spark):
+    """Lines by split alone, of few words, drawn from few, so that windows repeat within and across documents."""
+    rng, rows = random.Random(9), []
+    for i in range(150):
+        rows.append((i, "\n".join(rng.choice(["", " "]) + " ".join(f"{rng.choice('abAB')}" for _ in range(rng.randrange(0, 4))) for _ in range(rng.randrange(0, 14)))))
+    first, want = {}, {}
+    for i, t in rows:
+        u = [tuple(w.lower() for w in x) for x in split(t)]
+        own, gone = set(), set()
+        for k in range(len(u) - 2):
+            w = tuple(u[k : k + 3])
+            if w in own or first.setdefault(w, i) != i:
+                gone |= {k, k + 1, k + 2}
+            own.add(w)
+        want[i] = [w for k, x in enumerate(split(t)) if k not in gone for w in x]
+    old, ld.CHUNK = ld.CHUNK, 40
+    try:
+        got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    finally:
+        ld.CHUNK = old
+    assert {r.doc_id: r.text.split() for r in got} == want
+    assert all(len(r.text.split()) + r.removed_words == len(dict(rows)[r.doc_id].split()) for r in got)
+
+
+def test_chunks_reduce_a_window_to_its_first_holder():
+    import numpy as np
+    import pyarrow as pa
+
+    t = "a b\nc d\ne f"
+    batch = pa.record_batch({"p": [5, 3, 9, 3], "q": [0, 0, 0, 0], "text": [t, t, t + "\n" + t, t]})
+    rows = [tuple(x.values()) for out in ld._holders(iter([batch])) for x in out.to_pylist()]
+    w = int(ld.windows_of(*ld.lines_of(t))[0])
+    assert sorted((p, known) for x, p, q, known in rows if x == w) == [(3, False), (5, True), (9, True)]
+    assert [(p, known) for x, p, q, known in rows if x is None] == [(9, True)] and not np.any([q for _, _, q, _ in rows])
+
+
+def test_rows_without_ids_are_told_apart_by_their_text(spark):
+    rng = random.Random(10)
+    passage = text(rng, 70)
+    rows = [(None, f"{passage}\n{i} {text(rng, 9)}") for i in range(20)] + [(None, f"{passage}\n{0}")] * 2
+    got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.removed_lines == 0 for r in got) == 1 + (rows[-1][1] in [r.text for r in got])
+    named = ld.line_dedup(spark.createDataFrame([(f"id{i}", t) for i, (_, t) in enumerate(rows[:20])], "doc_id string, text string")).collect()
+    assert sum(r.removed_lines == 0 for r in named) == 1
