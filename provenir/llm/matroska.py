@@ -6,8 +6,8 @@ ids and sizes (also unknown sizes of segments and clusters), SimpleBlocks and Bl
 cues; it gives a packet for each frame, with its track, time and range of bytes in the file, and never copies frames.
 
 Defined results: a null text is the empty one; a payload is padded with bytes 0 to a positive multiple of 64, so the empty
-text has 64 of them; null media have no packets; media that end within an element, or have a size that leads out of its
-parent, raise ValueError in parse(), and give a null in packets().
+text has 64 of them; null media have no packets; media that end within an element, lack a part that it needs, or have a size
+that leads out of its parent, raise ValueError in parse(), and give nulls in packets() and features().
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import prepare
+from provenir.llm.common import carried, prefixed, prepare, quoted
 
 #: Samples a second, samples a frame, frames a block, blocks a cluster.
 RATE, FRAME, LACED, BLOCKS = 8000, 1024, 8, 4
@@ -194,7 +194,14 @@ def _block(data: memoryview, a: int, b: int, simple: bool) -> tuple[int, int, bo
 
 
 def parse(content: bytes) -> Media:
-    """Tracks, packets and cues of a Matroska file."""
+    """Tracks, packets and cues of a Matroska file; ValueError for whatever is no such file."""
+    try:
+        return _parse(content)
+    except (StopIteration, KeyError, IndexError, OverflowError, struct.error) as e:
+        raise ValueError(f"an element is cut off or lacks a part: {e!r}") from e
+
+
+def _parse(content: bytes) -> Media:
     data, out, scale = memoryview(content), Media(), 1_000_000
     for ident, a, b in _children(data, 0, len(data)):
         if ident != SEGMENT:
@@ -263,15 +270,15 @@ def packets(df: DataFrame, column: str = "media") -> DataFrame:
         def one(content: bytes | None) -> list[dict] | None:
             try:
                 return [vars(p) for p in parse(content).packets] if content is not None else None
-            except (ValueError, KeyError, IndexError, StopIteration):
+            except ValueError:
                 return None
 
         fields = [("track", pa.int64()), ("time_ns", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("keyframe", pa.bool_()), ("cluster", pa.int64()), ("block", pa.int64()), ("lacing", pa.string())]
         return pa.array([one(x.as_py()) for x in batch], pa.list_(pa.struct(fields)))
 
-    own = {x.split(":")[0] for x in _PACKET.split(",")}
-    rest = [F.col(f"`{c}`") for c in df.columns if c != column and c not in own]
-    return df.select(*rest, F.explode_outer(packets_of(F.col(column))).alias("_packet")).select(*rest, "_packet.*")
+    own = [x.split(":")[0] for x in _PACKET.split(",")]
+    found = df.select(*prefixed(df)).withColumn("p", F.explode_outer(packets_of(quoted(f"in_{column}"))))
+    return found.select(*carried(df, [*own, column]), "p.*")
 
 
 def features_of(content: bytes) -> tuple[int, str, int, str]:
@@ -288,13 +295,20 @@ def features_of(content: bytes) -> tuple[int, str, int, str]:
 
 
 def features(content: Column) -> Column:
-    """struct<payload_bytes, payload_sha256, tail_crc32, feature> of a media column; null: null."""
+    """struct<payload_bytes, payload_sha256, tail_crc32, feature> of a media column; null for null, and for media that can't be
+    parsed."""
 
     @F.arrow_udf("struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>")
     def media_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
+
+        def one(content: bytes | None) -> dict | None:
+            try:
+                return None if content is None else dict(zip(kind.names, features_of(content)))
+            except ValueError:
+                return None
+
         for batch in batches:
-            rows = [None if (y := x.as_py()) is None else dict(zip(kind.names, features_of(y))) for x in batch]
-            yield pa.array(rows, kind)
+            yield pa.array([one(x.as_py()) for x in batch], kind)
 
     return media_features(content)
