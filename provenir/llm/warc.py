@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import prepare, shared_dir
+from provenir.llm.common import dealt_join, prepare, shared_dir
 
 #: A task starts a new archive after so many bytes of records; level of compression.
 ARCHIVE_BYTES, LEVEL = 64 << 20, 4
@@ -236,11 +236,13 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
 
 def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with html packed, its size in bytes, and refers_to: the greatest page_id of those with an
-    equal payload of at least least_bytes, null for that page itself and for smaller payloads."""
+    equal payload of at least least_bytes, null for that page itself and for smaller payloads.
+
+    A payload of very many pages (an empty or an error page, say) is dealt to several tasks by page_id."""
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", "html", F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("key"))
-    holders = keyed.where(F.col("size") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("key", "holder")
-    joined = keyed.withColumn("html", packed(F.col("html"))).join(holders, "key", "left")
+    holders = keyed.where(F.col("size") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").checkpoint()
+    joined = dealt_join(keyed.withColumn("html", packed(F.col("html"))), holders, ["key"], F.struct("page_id", "url"))
     return joined.select("page_id", "url", "html", "size", F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"))
 
 
