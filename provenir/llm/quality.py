@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import WORD, prepare
+from provenir.llm.common import WORD, carried, dealt_join, prefixed, prepare, quoted, salted_join, written
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -74,18 +74,22 @@ def normalised(line: Column) -> Column:
 
 
 def removed_words(docs: DataFrame, least: int = LEAST_COPIES, share: float = LINE_SHARE) -> DataFrame:
-    """(host, content, removed, frequent): words in lines over the host's limit and those lines' hashes, for documents
-    (host, content, text) that have some."""
+    """(host, content, removed, frequent, n): words in lines over the host's limit, those lines' hashes and the number of
+    equal documents, for documents (host, content, text) that have some.
+
+    Copies of a document, and a line's holders, are summed up where they are read. A host's frequent lines are few (lines
+    of more than a share of its documents, so at most a document's lines over that share), and so is the side that a
+    frequent line's very many holders are dealt out against."""
     lines = docs.select("host", "content", F.explode(F.split("text", "\n", -1)).alias("line"))
     each = lines.select("host", "content", F.xxhash64(normalised(F.col("line"))).alias("line"), F.regexp_count("line", F.lit(WORD)).alias("words")).where("words > 0")
-    held = each.groupBy("host", "content", "line").agg(F.max("words").alias("words"), F.count("*").alias("n"))
-    # Repeated rows count the same lines again: n over the rows of the content.
-    copies = docs.groupBy("host", "content").agg(F.count("*").alias("copies"))
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("docs"))
+    # Repeated rows count the same lines again: times over the rows of the content. Both are stored, as they are read twice.
+    held = written(each.groupBy("host", "content", "line").agg(F.max("words").alias("words"), F.count("*").alias("times")))
+    copies = written(docs.groupBy("host", "content").agg(F.count("*").alias("copies")))
+    counts = held.groupBy("host", "line").agg(F.count("*").alias("n"))
     hosts = copies.groupBy("host").agg((F.count("*") * share).alias("limit"))
-    frequent = counts.where(F.col("docs") > least).join(hosts, "host").where("docs > limit").select("host", "line")
-    gone = held.join(frequent, ["host", "line"], "left_semi").groupBy("host", "content").agg(F.sum(F.col("words") * F.col("n")).alias("removed"), F.collect_set("line").alias("frequent"))
-    return gone.join(copies, ["host", "content"]).select("host", "content", (F.col("removed") / F.col("copies")).cast("long").alias("removed"), "frequent")
+    frequent = salted_join(counts.where(F.col("n") > least), hosts, "host", F.col("line")).where("n > limit").select("host", "line", "n").checkpoint()
+    gone = dealt_join(held, frequent, ["host", "line"], F.col("content"), "inner").groupBy("host", "content").agg(F.sum(F.col("words") * F.col("times")).alias("removed"), F.collect_set("line").alias("frequent"))
+    return gone.join(copies, ["host", "content"]).select("host", "content", (F.col("removed") / F.col("copies")).cast("long").alias("removed"), "frequent", F.col("copies").alias("n"))
 
 
 def without_lines(text: Column, frequent: Column) -> Column:
@@ -98,13 +102,15 @@ def quality_rules(docs: DataFrame, host: str = "source", least_words: int = LEAS
     """docs (doc_id, text, a host, any others) with the base measures, base_failed, removed_words, kept and text_left, the text
     without its lines over the limit."""
     prepare(docs.sparkSession)
-    own = docs.select(F.coalesce(F.concat(F.lit("h"), F.col(f"`{host}`")), F.lit("n")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
-    removed = removed_words(own.select("host", "content", "text"))
+    added = {"host": F.coalesce(F.concat(F.lit("h"), quoted(f"in_{host}")), F.lit("n")), "content": F.xxhash64(F.coalesce("in_text", F.lit(""))), "text": F.coalesce("in_text", F.lit(""))}
+    own = docs.select(*prefixed(docs)).withColumns(added)
+    removed = removed_words(own.select("host", "content", "text")).checkpoint()
     base = base_measures(F.col("text"))
-    measured = own.select("host", "content", *[F.col(f"in_{c}") for c in docs.columns], *[v.alias(k) for k, v in base.items()])
-    out = measured.join(removed, ["host", "content"], "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
+    measured = own.select("host", "content", *[quoted(f"in_{c}") for c in docs.columns], *[v.alias(k) for k, v in base.items()])
+    # A text of very many copies is dealt to several tasks by doc_id.
+    out = dealt_join(measured, removed, ["host", "content"], F.col("in_doc_id")).withColumn("removed", F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed")
     depleted = (F.col("removed") > 0) & ((left < least_words) | (left < least_share * F.col("n_words")))
     made = {**{k: F.col(k) for k in base}, "base_failed": failed, "removed_words": F.col("removed"), "kept": ~failed & ~depleted, "text_left": without_lines(F.col("in_text"), F.col("frequent"))}
-    return out.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+    return out.select(*carried(docs, made), *[v.alias(k) for k, v in made.items()])
