@@ -16,7 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.pareto_mix(_read(spark, sf_dir, "documents"))
+    """Within a source, documents of 1,000 characters or more are twice as likely as shorter ones, of 5,000 four times."""
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    docs = _read(spark, sf_dir, "documents").withColumn("weight", F.when(chars < 1000, 1.0).when(chars < 5000, 2.0).otherwise(4.0))
+    mixed = mixing.pareto_mix(docs, importance="weight")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -51,7 +54,11 @@ def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.secret_scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two scans over one ledger: of the documents up to the median doc_id, then of all, where only unseen blobs are read."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    half = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    _, ledger = secrets.secret_scan(docs.where(F.coalesce(F.col("doc_id") <= half, F.lit(False))))
+    found, _ = secrets.secret_scan(docs, ledger)
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("findings", lambda x: x["kind"].isin([r.kind for r in secrets.RULES]))
     spans = found.select("doc_id", *[count(r.kind) for r in secrets.RULES], secrets.as_text(base).alias("base"), secrets.as_text(F.col("findings")).alias("spans"))
@@ -96,10 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {}
 
-#: Targets by water-filling, then the Pareto rank of each row and the words before it in its source.
+#: Targets by water-filling over sources, rates by water-filling over weights, then the Pareto rank of each row and the words
+#: before it in its source.
 ORACLE_SQL["op1_pareto_mix"] = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as w,
+    case when coalesce(length(text), 0) < 1000 then 1.0 when length(text) < 5000 then 2.0 else 4.0 end::double as v,
     md5('1:1|' || coalesce(length(doc_id::varchar) || ':' || doc_id::varchar, '-') || '|' || coalesce(length(text) || ':' || text, '-')) as tie
   from documents),
 s as (select source, sum(w)::bigint as size from d group by source),
@@ -111,9 +120,15 @@ l as (select *, (sum(size) over ())::double as total,
 c as (select *, cap <= level * weight as capped from l),
 t as (select source, size, case when capped then cap else weight *
     ((total - coalesce(sum(case when capped then cap end) over (), 0)) / sum(case when not capped then weight end) over ()) end as target from c),
-e as (select d.*, t.size, t.target, case when t.size > 0 then least(3.0::double, t.target / t.size) else 0 end as e,
+k as (select source, v, sum(w)::double as words from d group by source, v),
+j as (select k.*, size, target, (target - 3 * coalesce(sum(words) over f, 0)) /
+    nullif(sum(words * v) over (partition by k.source) - coalesce(sum(words * v) over f, 0), 0) * v >= 3 as filled
+  from k join t on k.source is not distinct from t.source window f as (partition by k.source order by v desc rows between unbounded preceding and 1 preceding)),
+r0 as (select source, size, target, (target - 3 * coalesce(sum(words) filter (coalesce(filled, false)), 0)) /
+    nullif(sum(words * v) filter (not coalesce(filled, false)), 0) as rate from j group by source, size, target),
+e as (select d.*, size, target, case when size > 0 then least(3.0::double, coalesce(rate * v, 3.0::double)) else 0 end as e,
     (('0x' || substr(tie, 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
-  from d join t on d.source is not distinct from t.source),
+  from d join r0 on d.source is not distinct from r0.source),
 p as (select *, floor(e)::bigint as certain, e - floor(e) as p from e),
 q as (select *, case when p > 0 then (u / (1 - u)) * ((1 - p) / p) end as q from p),
 x as (select *, q / (1 + q) as x, target - sum(certain * w) over (partition by source) as goal from q),
