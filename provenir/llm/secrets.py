@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import prepare, salted_join
+from provenir.llm.common import carried, prefixed, prepare, quoted, salted_join, written
 
 
 @dataclass(frozen=True)
@@ -64,27 +64,29 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def update_ledger(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
     """Ledger rows (blob, rule_version, findings) for the blobs of versions (text) that ledger lacks under rule_version."""
     blobs = versions.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
-        blobs = blobs.join(seen, "blob", "left_anti")
     # Equal blobs meet in the tasks that read them first, so a text of many copies is shuffled once a task.
     unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    if ledger is not None:
+        seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
+        unseen = unseen.join(seen.hint("merge"), "blob", "left_anti")
     return scan(unseen, rules).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
 
 
 def secret_scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(versions with blob and findings, ledger rows to append).
 
-    versions: text and any others; a path and a commit, say. Its own columns named blob or findings are replaced."""
+    versions: text and any others; a path and a commit, say. Its own columns named blob or findings are replaced. The new
+    ledger rows are stored below the shared folder, so that both results read what was scanned once."""
     prepare(versions.sparkSession)
-    new = update_ledger(versions, ledger, rules, rule_version)
+    new = written(update_ledger(versions.select("text"), ledger, rules, rule_version))
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "findings"))
-    held = known.where(F.size("findings") > 0).select("blob", "findings")
-    kept = versions.select(*[F.col(f"`{c}`") for c in versions.columns if c not in ("blob", "findings")]).withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    held = known.where(F.size("findings") > 0).select(F.col("blob").alias("key"), "findings")
+    kept = versions.select(*prefixed(versions)).withColumn("key", F.sha2(F.coalesce("in_text", F.lit("")), 256))
     # A blob of very many paths is dealt to several tasks by what else a version says; held has only blobs with findings.
-    rest = [F.col(f"`{c}`") for c in kept.columns if c not in ("text", "blob")]
-    joined = salted_join(kept, held, "blob", F.xxhash64(*rest) if rest else F.lit(0))
-    return joined.withColumn("findings", F.coalesce("findings", F.array().cast(held.schema["findings"].dataType))), new
+    rest = [quoted(f"in_{c}") for c in versions.columns if c.lower() != "text"]
+    joined = salted_join(kept, held, "key", F.xxhash64(*rest) if rest else F.lit(0))
+    found = F.coalesce("findings", F.array().cast(held.schema["findings"].dataType))
+    return joined.select(*carried(versions, ("blob", "findings")), F.col("key").alias("blob"), found.alias("findings")), new
 
 
 def as_text(findings: Column) -> Column:
