@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import prepare, written
+from provenir.llm.common import carried, dealt_join, prefixed, prepare, salted_join, written
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -155,10 +155,11 @@ def connected(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # A hub may have a third of all nodes around it, so a node's edges are dealt to several tasks.
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both.where("v > u"), least, "u", F.col("v"), 16).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = salted_join(large, least, "u", F.col("v"), 16).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -168,24 +169,25 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def fingerprint_classes(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """(fp, root, class_id) for each fp of rows (doc_id, fp): its component of near fingerprints and its least doc_id.
+    """(fp, root, class_id, n) for each fp of rows (doc_id, fp): its component of near fingerprints, that one's least doc_id,
+    and the rows of the fp. Stored.
 
     more: links (a, b) of fingerprints besides."""
     # Dealt out anew: a node is a few bytes here and a thousand rows in the next step.
     wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")).repartition(wide, "fp").checkpoint()
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")).repartition(wide, "fp").checkpoint()
     links = near_fingerprints(nodes.select("fp"))
     roots = connected(links if more is None else links.unionByName(more)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = nodes.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    return nodes.join(ids, "root").select("fp", "root", "class_id")
+    placed = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = placed.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n")).checkpoint()
+    return written(dealt_join(placed, ids, ["root"], F.col("fp"), "inner").select("fp", "root", "class_id", F.col("rows").alias("n")))
 
 
 def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (signed long), fingerprint (hex), component_id for each row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     fps = docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")).checkpoint()
-    out = fps.join(fingerprint_classes(fps), "fp", "left")
+    out = dealt_join(fps, fingerprint_classes(fps), ["fp"], F.col("doc_id"))
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class_id").alias("component_id"))
 
 
@@ -206,10 +208,12 @@ def _similar(pairs: DataFrame, at: DataFrame, texts: DataFrame, words: int, fift
 
 def similar_sets(sketches: DataFrame, texts: DataFrame, words: int, fifths: int = 4) -> DataFrame:
     """Links (a, b) that connect the shingle sets of sketches (shingled, bands, id, key) of 0.8 similarity or more."""
-    at = sketches.groupBy("shingled").agg(F.min(F.struct("id", "key")).alias("at")).select("shingled", "at.id", "at.key")
-    rows = sketches.select(F.explode("bands").alias("band"), "shingled").repartition("band")
-    ends = rows.groupBy("band").agg(F.min("shingled").alias("hub"), F.max("shingled").alias("last")).where("hub < last").select("band", "hub")
-    shared = written(rows.join(ends.hint("shuffle_hash"), "band").distinct())
+    # Equal sets are one, so a text of many copies is one holder of its bands.
+    sets = written(sketches.groupBy("shingled").agg(F.min(F.struct("id", "key")).alias("at"), F.first("bands").alias("bands")))
+    at = sets.select("shingled", "at.id", "at.key")
+    rows = sets.select(F.explode("bands").alias("band"), "shingled")
+    ends = written(rows.groupBy("band").agg(F.min("shingled").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    shared = written(dealt_join(rows, ends, ["band"], F.col("shingled"), "inner"))
     stars = written(shared.where("shingled <> hub").select(F.col("shingled").alias("a"), F.col("hub").alias("b")).distinct())
     links = written(_similar(stars, at, texts, words, fifths))
     found = connected(links).withColumnRenamed("node", "shingled")
@@ -246,12 +250,12 @@ def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), F.xxhash64("text").alias("key"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+    return docs.select(*prefixed(docs)).withColumns({"id": F.coalesce(F.col("in_doc_id").cast("string"), F.lit("-")), "key": F.xxhash64("in_text")})
 
 
 def _firsts(docs: DataFrame, own: DataFrame, narrow: DataFrame, classes: DataFrame) -> DataFrame:
-    classes = narrow.select("doc_id", "fp", "id", "key").join(classes, "fp")
+    classes = dealt_join(narrow.select("doc_id", "fp", "id", "key"), classes, ["fp"], F.struct("id", "key"), "inner")
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "id")).alias("at"))
-    stay = first.select("at.id", "at.key")
-    kept = own.join(stay, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
-    return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    # Repeated rows meet in the tasks that read them before they are dealt out.
+    kept = own.dropDuplicates(["id", "key"]).join(first.select("at.id", "at.key").hint("merge"), ["id", "key"], "left_semi")
+    return kept.select(*carried(docs, ()))
