@@ -112,16 +112,21 @@ def windows_of(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return (w ^ (w >> np.uint64(32))).view(np.int64)
 
 
-def without(text: str, later: set[int]) -> tuple[str, int, int]:
+def without(text: str, later: np.ndarray) -> tuple[str, int, int]:
     """(text without later occurrences, lines removed, words removed)."""
     hashes, cuts = lines_of(text)
-    gone, seen = set(), set()
-    for i, h in enumerate(windows_of(hashes, cuts).tolist()):
-        if h in seen or h in later:
-            gone.update((i, i + 1, i + 2))
-        seen.add(h)
-    if not gone:
+    windows = windows_of(hashes, cuts)
+    hit = np.ones(len(windows), bool)
+    hit[np.unique(windows, return_index=True)[1]] = False
+    hit |= np.isin(windows, later)
+    covered = np.zeros(len(cuts), bool)
+    for k in range(3):
+        covered[k : k + len(hit)] |= hit
+    if not covered.any():
         return text, 0, 0
+    if covered.all():
+        return "", len(cuts), len(hashes)
+    gone = set(np.flatnonzero(covered).tolist())
     parts = _SPLIT(text)  # words and the white space between them, alternating
     out, removed, a, at, first = [], 0, 0, 0, 0 if parts[0] else 2
     for i, b in enumerate(cuts.tolist()):
@@ -155,7 +160,8 @@ def _reduced(windows: list[np.ndarray], p: np.ndarray, q: np.ndarray, twice: np.
     at = np.concatenate([holder[stays], again])
     seen = pa.array(np.concatenate([w[stays], np.zeros(len(again), np.int64)]), pa.int64(), mask=np.arange(len(at)) >= len(at) - len(again))
     known = np.concatenate([~new[stays], np.ones(len(again), bool)])
-    return pa.record_batch({"w": seen, "p": pa.array(p[at]), "q": pa.array(q[at]), "known": pa.array(known)})
+    whole = pa.record_batch({"w": seen, "p": pa.array(p[at]), "q": pa.array(q[at]), "known": pa.array(known)})
+    return whole.take(pa.array(np.argsort(at, kind="stable")))  # by document, as places then compress
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +197,7 @@ def _rebuilt(text: Column, later: Column) -> Column:
     def without_later(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.struct([("text", pa.string()), ("removed_lines", pa.int64()), ("removed_words", pa.int64())])
         for texts, lists in batches:
-            rows = [None if (t := x.as_py()) is None else dict(zip(kind.names, without(t, set(y.as_py() or ())))) for x, y in zip(texts, lists)]
+            rows = [None if (t := x.as_py()) is None else dict(zip(kind.names, without(t, np.array(y.as_py() or (), np.int64)))) for x, y in zip(texts, lists)]
             yield pa.array(rows, kind)
 
     return without_later(text, later)
@@ -213,8 +219,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     own = docs.select(*prefixed(docs)).withColumns({"p": p, "q": q})
     rows = own.select("p", "q", "in_text").mapInArrow(_holders, "w long, p long, q long, known boolean")
     # A row that is known to be later needs no other: it is dealt out by itself, however many hold its window.
-    rows = rows.withColumn("g", F.when(F.col("known"), F.xxhash64("w", "p", "q")).otherwise(F.col("w")))
-    first = F.min(F.struct("p", "q")).over(Window.partitionBy("g", "known"))
+    alone = [F.when(F.col("known"), F.col(c)) for c in ("p", "q")]
+    first = F.min(F.struct("p", "q")).over(Window.partitionBy("w", *alone))
     later = rows.withColumn("first", first).where(F.col("known") | (F.struct("p", "q") > F.col("first")))
     touched = later.groupBy("p", "q").agg(F.collect_set("w").alias("later"))
     # Merged at every size. Python sees only the texts of which something goes.
