@@ -34,7 +34,7 @@ def canonical_text(value: str | None) -> str | None:
     """Canonical form of any JSON text; None for what is no JSON or holds a number that JSON can't."""
     try:
         return None if value is None else json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 

@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.functions.canon import GENESIS, event_hash
+from provenir.functions.canon import GENESIS, event_hash, quote_json
+from provenir.session import stored
+
+_EVENT = ("kind", "subject", "body", "at")
 
 
 def build_chain(events: DataFrame, chain: str = "chain", first: int = 0, prev: str = GENESIS) -> DataFrame:
     """(chain, seq, kind, subject, body, at, prev_hash, hash) for events (chain, ord, kind, subject, body, at), each chain
     from number first + 1 on after the hash prev.
 
-    Each hash needs the one before it, so a chain is folded in order in one row; chains run in parallel."""
-    item = F.struct("ord", "kind", "subject", "body", "at")
-    logs = events.groupBy(chain).agg(F.array_sort(F.collect_list(item)).alias("log"))
-    kind = "array<struct<seq:bigint,kind:string,subject:string,body:string,at:string,prev_hash:string,hash:string>>"
-    start = F.struct(F.lit(prev).alias("prev"), F.array().cast(kind).alias("out"))
-
-    def step(done: Column, e: Column) -> Column:
-        seq = F.size(done["out"]).cast("bigint") + F.lit(first + 1).cast("bigint")
-        digest = event_hash(seq, e["kind"], e["subject"], e["body"], e["at"], done["prev"])
-        one = F.struct(seq.alias("seq"), e["kind"].alias("kind"), e["subject"].alias("subject"), e["body"].alias("body"), e["at"].alias("at"), done["prev"].alias("prev_hash"), digest.alias("hash"))
-        return F.struct(digest.alias("prev"), F.concat(done["out"], F.array(one)).alias("out"))
-
-    return logs.select(chain, F.explode(F.aggregate("log", start, step, lambda x: x["out"])).alias("e")).select(chain, "e.*")
+    Each hash needs the one before it, so one chain is hashed by one task, and chains run in parallel. Rows arrive in order,
+    by Arrow batches, and only the last hash is carried on: the work is linear, and no chain is held in memory."""
+    text = lambda c: F.coalesce(quote_json(F.col(c)), F.lit("null"))
+    head = F.concat(F.lit('{"at":'), text("at"), F.lit(',"body":'), text("body"), F.lit(',"kind":'), text("kind"), F.lit(',"prev":"'))
+    rest = F.concat(F.lit(',"subject":'), text("subject"), F.lit("}"))
+    ordered = events.select(chain, "ord", *_EVENT).repartition(chain).sortWithinPartitions(chain, "ord", *_EVENT)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seq, last = object(), first, prev
+        for batch in batches:
+            made: tuple[list, list, list] = ([], [], [])
+            for key, before, after in zip(*(batch.column(i).to_pylist() for i in (0, 5, 6))):
+                if key != own:
+                    own, seq, last = key, first, prev
+                seq += 1
+                digest = hashlib.sha256(f'{before}{last}","seq":{seq}{after}'.encode()).hexdigest()
+                for out, value in zip(made, (seq, last, digest)):
+                    out.append(value)
+                last = digest
+            numbers, befores, digests = pa.array(made[0], pa.int64()), pa.array(made[1], pa.string()), pa.array(made[2], pa.string())
+            yield pa.record_batch([batch.column(0), numbers, *(batch.column(i) for i in range(1, 5)), befores, digests], names=[chain, "seq", *_EVENT, "prev_hash", "hash"])
+
+    kind = events.schema[chain].dataType.simpleString()
+    schema = f"`{chain}` {kind}, seq long, kind string, subject string, body string, `at` string, prev_hash string, hash string"
+    return ordered.select(chain, *_EVENT, head.alias("before"), rest.alias("after")).mapInArrow(link, schema)
 
 
 def verify_chain(chain: DataFrame, key: str = "chain") -> DataFrame:
@@ -32,8 +51,8 @@ def verify_chain(chain: DataFrame, key: str = "chain") -> DataFrame:
 
     Every row states the hash before it, so neighbours are compared by an equi-join on seq - 1, which deals a long chain
     out to many tasks; only where a number is missing is the row before looked for otherwise, by a window over the
-    rows that border on gaps."""
-    own = chain.select(key, "seq", "prev_hash", "hash", event_hash(F.col("seq"), F.col("kind"), F.col("subject"), F.col("body"), F.col("at"), F.col("prev_hash")).alias("made"))
+    rows that border on gaps. The rows are hashed once, and what is compared is stored."""
+    own = stored(chain.select(key, "seq", "prev_hash", "hash", event_hash(F.col("seq"), F.col("kind"), F.col("subject"), F.col("body"), F.col("at"), F.col("prev_hash")).alias("made")))
     before = own.select(key, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("last"))
     joined = own.join(before, [key, "seq"], "left")
     joined = joined.withColumn("last", F.when((F.col("seq") == 1) & F.col("last").isNull(), F.lit(GENESIS)).otherwise(F.col("last")))

@@ -5,12 +5,13 @@ query must be empty, and the chain shows afterwards whether two batches were wri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.functions.canon import canonical_json, canonical_object, quote_json
+from provenir.operators import campaign, delivery
 from provenir.operators import chain as chains
-from provenir.operators import delivery, ledger
+from provenir.sources.files import exists
 
 TARGET = "target_kind"
 
@@ -24,6 +25,8 @@ def record_body(record: DataFrame, with_state: bool = False) -> DataFrame:
     text = lambda c: quote_json(F.col(c))
     parser = F.when(F.col("parser_name").isNotNull(), canonical_object({"name": text("parser_name"), "version": text("parser_version")}))
     body = {"run_id": text("run_id"), "artifact_hash": text("artifact_hash"), "source_hash": text("source_hash"), "source_kind": text("source_kind"), "parser": parser, "backend": text("backend"), "run_conditions": canonical_json(F.col("run_conditions"))}
+    if "parser_config" in record.columns:
+        body |= {"parser_config": canonical_json(F.col("parser_config"))}
     if with_state:
         body |= {"state": text("state")}
     return record.withColumn("body", canonical_object(body))
@@ -48,16 +51,14 @@ def extend(head: tuple[int, str], events: DataFrame) -> DataFrame:
     return chains.build_chain(events.withColumn("chain", F.lit("ledger")), first=seq, prev=digest).drop("chain")
 
 
-def append(spark: SparkSession, log: str, events: DataFrame, violations: DataFrame | None = None) -> tuple[int, str]:
-    """Add events to the chain at log (Parquet) unless violations has rows; returns the new head (seq, hash)."""
+def append(spark: SparkSession, log: str, events: DataFrame, violations: DataFrame | None = None, create: bool = False) -> tuple[int, str]:
+    """Add events to the chain at log (Parquet) unless violations has rows; returns the new head (seq, hash). A chain is begun
+    only where create says so: a mistyped path must not begin a second one."""
     if violations is not None and (bad := violations.limit(5).collect()):
         raise Refused("; ".join(str(r) for r in bad))
-    try:
-        last = spark.read.parquet(log).agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash")).first()
-    except Exception as e:  # no chain yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = None
+    last = spark.read.parquet(log).agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash")).first() if exists(spark, log) else None
+    if last is None and not create:
+        raise FileNotFoundError(f"no chain at {log}")
     head = (0, "0" * 64) if last is None or last["seq"] is None else (last["seq"], last["hash"])
     extend(head, events).write.mode("append").parquet(log)
     now = spark.read.parquet(log).agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash")).first()
@@ -110,9 +111,52 @@ def signoffs(events: DataFrame) -> DataFrame:
     return signed.select("seq", F.get_json_object("body", "$.report").alias("report"), F.get_json_object("body", "$.by").alias("by")).orderBy("seq")
 
 
-def foreach_target(rows: DataFrame, write) -> None:
-    """Hand each partition's deliveries to a writer (rows in, nothing back); dispatch_id is the key that makes it repeatable."""
-    rows.foreachPartition(lambda part: write(list(part)))
+def sign_off(spark: SparkSession, log: str, report_head: tuple[int, str], signed: DataFrame, stale: DataFrame) -> tuple[int, str]:
+    """Append sign-offs (ord, subject, body, at) to the chain, which must hold the report's head still, and none of whose
+    signed records may be stale (rows of campaign.stale_signoffs)."""
+    chain = spark.read.parquet(log).select("seq", "hash")
+    head = spark.createDataFrame([("report", *report_head)], "signoff_id string, head_seq long, head_hash string")
+    lost = campaign.lost_heads(head, chain).select(F.col("problem"))
+    return append(spark, log, signed.withColumn("kind", F.lit("verification.signed_off")), lost.unionByName(stale.select("problem")))
 
 
-LIFECYCLE = ledger.ALLOWED
+def encode_target(kind: Column, fields: dict[str, Column]) -> Column:
+    """A delivery target as text: its kind and its fields in canonical JSON; null fields are stated as null."""
+    return F.concat(kind, F.lit(":"), canonical_object({k: quote_json(v) for k, v in fields.items()}))
+
+
+def dispatch_events(verdicts: DataFrame, violations: DataFrame, payloads: DataFrame, written: DataFrame, states: DataFrame, at: Column) -> DataFrame:
+    """(dispatch_id, step, event, detail, at): what a dispatch writes to the log, in order of step, for deliveries that are ready.
+
+    A payload that breaks a rule gets a failure without intent; any other an intent with its digest, then a receipt or the
+    target's error; and a removal intent where the record was invalidated meanwhile. verdicts: dispatch_id, record_id,
+    verdict. violations: record_id, violation. payloads: record_id, digest. written: dispatch_id, error. states: record_id, state."""
+    joined = verdicts.where("verdict = 'ready'").join(violations.select("record_id", "violation"), "record_id", "left").join(payloads.select("record_id", "digest"), "record_id", "left")
+    joined = joined.join(written.select("dispatch_id", F.col("error"), F.lit(True).alias("tried")), "dispatch_id", "left").join(states.select("record_id", "state"), "record_id", "left")
+    step = lambda n, event, detail: F.struct(F.lit(n).alias("step"), F.lit(event).alias("event"), detail.cast("string").alias("detail"))
+    bad, sent, ok = F.col("violation").isNotNull(), F.col("tried").isNotNull(), F.col("error").isNull()
+    steps = F.array(
+        F.when(bad, step(1, "failure", F.col("violation"))), F.when(~bad, step(2, "intent", F.col("digest"))), F.when(~bad & sent & ok, step(3, "receipt", F.lit(None))),
+        F.when(~bad & sent & ~ok, step(4, "failure", F.col("error"))), F.when(~bad & sent & ok & (F.col("state") == "invalidated"), step(5, "removal_intent", F.lit(None))),
+    )
+    return joined.select("dispatch_id", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("s")).select("dispatch_id", "s.*", at.alias("at"))
+
+
+def removal_events(removing: DataFrame, removed: DataFrame, at: Column) -> DataFrame:
+    """(dispatch_id, event, detail, at): the outcome of each removal intent (dispatch_id): a receipt or the target's error
+    (removed: dispatch_id, error); none where the target has not answered."""
+    joined = removing.select("dispatch_id").distinct().join(removed.select("dispatch_id", "error"), "dispatch_id")
+    return joined.select("dispatch_id", F.when(F.col("error").isNull(), "removal_receipt").otherwise("removal_failure").alias("event"), F.col("error").alias("detail"), at.alias("at"))
+
+
+def foreach_target(rows: DataFrame, write, size: int = 1000) -> None:
+    """Hand each partition's deliveries to a writer (rows in, nothing back), size at a time; dispatch_id is the key that makes
+    it repeatable."""
+    from itertools import islice
+
+    def send(part) -> None:
+        rows = iter(part)
+        while batch := list(islice(rows, size)):
+            write(batch)
+
+    rows.foreachPartition(send)

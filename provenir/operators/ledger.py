@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.functions.canon import memory_limit_ok
+from provenir.functions.canon import canonical_json, canonical_object, memory_limit_ok, quote_json
 
 STATES = ("pending", "sealed", "failed", "invalidated")
 #: States from which a transition is allowed.
@@ -54,6 +54,49 @@ def fold_states(events: DataFrame) -> DataFrame:
     return after.groupBy(F.col("subject").alias("record_id")).agg(F.max_by("state", "seq").alias("state"))
 
 
+#: What the chain and the ledger both say of a record.
+RECORD_KEYS = ("artifact_hash", "parser", "parser_config", "run_conditions", "run_id", "source_hash", "state")
+
+
+def fold_records(events: DataFrame) -> DataFrame:
+    """(record_id, RECORD_KEYS): each record as the chain has it; parser, parser_config and run_conditions are canonical JSON."""
+    begun = events.where(F.col("kind").isin("record.created", "record.imported"))
+    first = begun.groupBy(F.col("subject").alias("record_id")).agg(F.min_by("body", "seq").alias("body"))
+    said = lambda k: F.get_json_object("body", f"$.{k}")
+    value = {k: canonical_json(said(k)) if k in ("parser", "parser_config", "run_conditions") else said(k) for k in RECORD_KEYS if k != "state"}
+    return first.join(fold_states(events), "record_id").select("record_id", *[v.alias(k) for k, v in value.items()], "state")
+
+
+def record_differences(events: DataFrame, records: DataFrame) -> DataFrame:
+    """(record_id, problem) between the chain and the ledger's records: only on one side, a key that differs (RECORD_KEYS, in
+    order), a column that is no JSON (nothing else is then said), or a manifest that does not have the artifact hash.
+
+    records: record_id, run_id, artifact_hash, source_hash, parser_name, parser_version, parser_config, run_conditions,
+    state, manifest (JSON object of digests by path)."""
+    text = lambda c: quote_json(F.col(c))
+    parser = F.when(F.col("parser_name").isNotNull(), canonical_object({"name": text("parser_name"), "version": text("parser_version")}))
+    read = records.withColumns({"parser": parser, **{f"c_{c}": canonical_json(F.col(c)) for c in ("parser_config", "run_conditions")}})
+    bad = F.coalesce(*[F.when(F.col(c).isNotNull() & F.col(f"c_{c}").isNull(), F.lit(True)) for c in ("parser_config", "run_conditions")], F.lit(False))
+    entries = F.from_json("manifest", "map<string,string>")
+    paths = F.array_sort(F.map_keys(entries))
+    tree = F.array_join(F.transform(paths, lambda p: F.concat(p, F.lit(chr(0)), F.element_at(entries, p), F.lit(chr(0)))), "")
+    read = read.withColumns({"malformed": bad | (F.col("manifest").isNotNull() & entries.isNull()), "tree": F.sha2(tree, 256)})
+    actual = read.select("record_id", F.struct("artifact_hash", "parser", F.col("c_parser_config").alias("parser_config"), F.col("c_run_conditions").alias("run_conditions"), "run_id", "source_hash", "state").alias("a"), "malformed", "tree")
+    both = fold_records(events).select("record_id", F.struct(*RECORD_KEYS).alias("e")).join(actual, "record_id", "full_outer")
+    keys = [F.when(~F.col(f"e.{k}").eqNullSafe(F.col(f"a.{k}")), F.lit(k)) for k in RECORD_KEYS]
+    keys.append(F.when(F.col("tree") != F.col("a.artifact_hash"), F.lit("manifest")))
+    differing = F.filter(F.array(*keys), lambda x: x.isNotNull())
+    problems = F.when(F.col("a").isNull(), F.array(F.lit("only in chain"))).when(F.col("e").isNull(), F.array(F.lit("only in ledger"))).when(F.col("malformed"), F.array(F.lit("malformed column"))).otherwise(differing)
+    return both.select("record_id", F.explode(problems).alias("problem"))
+
+
+def canonical_conditions(conditions: Column) -> Column:
+    """Run conditions (JSON object) in canonical form; null where they are no object or state a malformed memory limit."""
+    limit = F.get_json_object(conditions, "$.memory")
+    form = canonical_json(conditions)
+    return F.when(F.startswith(form, F.lit("{")) & (limit.isNull() | memory_limit_ok(limit)), form)
+
+
 def illegal_transitions(events: DataFrame) -> DataFrame:
     """(record_id, seq, kind, from_state) of transitions that the state before does not allow; illegal ones change nothing,
     so the state before is that of the last legal event, found from the kind of event alone: each kind has one outcome."""

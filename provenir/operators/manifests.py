@@ -46,8 +46,10 @@ def tree_problem(text: Column) -> Column:
     paths = F.filter(fields, lambda _, i: i % 2 == 0)
     digests = F.filter(fields, lambda _, i: i % 2 == 1)
     later = F.filter(paths, lambda x, i: (i > 0) & (x <= F.get(paths, i - 1)))
-    # A file that is also a folder: some other path begins with it and a slash.
-    clash = F.exists(paths, lambda x: F.exists(paths, lambda y: F.startswith(y, F.concat(x, F.lit("/")))))
+    # A file that is also a folder: it is among the folders above the paths, which are looked up by hash.
+    above = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda k: F.array_join(F.slice(p, 1, k), "/"))
+    nested = F.filter(F.transform(paths, lambda x: F.split(x, "/", -1)), lambda p: F.size(p) > 1)
+    clash = F.arrays_overlap(paths, F.flatten(F.transform(nested, above)))
     return (
         F.when(text == "", None).when(~F.endswith(text, F.lit(NUL)), "truncated").when(n % 2 == 1, "odd")
         .when(F.exists(paths, lambda x: ~safe_path(x)), "path").when(F.exists(digests, lambda x: ~is_digest(x)), "digest")
@@ -91,6 +93,30 @@ def bundle_verify(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
     return counts.withColumn("ok", (F.col("missing") == 0) & (F.col("bad") == 0))
 
 
+def bundle_problems(manifest: DataFrame, blobs: DataFrame, records: DataFrame) -> DataFrame:
+    """(record_id, problem) of records (record_id, artifact_hash) whose bundle does not verify: its tree has another digest
+    than the record sealed, or blobs are missing or altered. A record without a bundle has no tree."""
+    trees = tree_digest(manifest, "record_id").select("record_id", "digest")
+    checked = bundle_verify(manifest, blobs).select("record_id", "missing", "bad")
+    joined = records.select("record_id", "artifact_hash").join(trees, "record_id", "left").join(checked, "record_id", "left")
+    found = F.array(
+        F.when(F.col("digest").isNull(), F.lit("no tree")).when(F.col("digest") != F.col("artifact_hash"), F.lit("another tree")),
+        F.when(F.col("missing") > 0, F.lit("blobs missing")), F.when(F.col("bad") > 0, F.lit("blobs altered")),
+    )
+    return joined.select("record_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))
+
+
+def staged_snapshots(files: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(input_id, kind, digest, size, file_count) of staged inputs (input_id, is_dir) and their files (input_id, path, digest,
+    size): a file's snapshot is that of its bytes, a folder's that of its tree; an empty folder has the empty tree."""
+    both = inputs.join(files, "input_id", "left")
+    one = both.where("not is_dir").select("input_id", F.lit("file").alias("kind"), "digest", "size", F.lit(1).cast("long").alias("file_count"))
+    trees = both.where("is_dir and path is not null").groupBy("input_id").agg(F.sha2(tree_text(F.col("path"), F.col("digest")), 256).alias("digest"), F.sum("size").alias("size"), F.count("*").alias("file_count"))
+    none = both.where("is_dir and path is null").select("input_id", F.sha2(F.lit(""), 256).alias("digest"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("file_count"))
+    folders = trees.unionByName(none).select("input_id", F.lit("tree").alias("kind"), "digest", "size", "file_count")
+    return one.where("digest is not null").unionByName(folders)
+
+
 def snapshot_totals(manifest: DataFrame, blobs: DataFrame, *keys: str) -> DataFrame:
     """(keys, size, file_count) of trees by the blobs they name."""
     sizes = blobs.select("digest", "size").dropDuplicates(["digest"])

@@ -101,9 +101,16 @@ def with_sections(units: DataFrame, key: str = "key") -> DataFrame:
 
 
 def normalise(docs: DataFrame) -> DataFrame:
-    """Units (key, unit_id, ord, kind, level, parent, start, end, text) of documents; blocks that are not UTF-8 have none."""
-    found = blocks(docs).where(F.is_valid_utf8("block")).withColumn("text", F.decode("block", "UTF-8")).drop("block")
-    return with_sections(with_kind(found))
+    """Units (key, unit_id, ord, kind, level, parent, start, end, text, error) of documents. A document with a block that is
+    not UTF-8 has no units but one row with an error, so that no unit gets another's number."""
+    per = Window.partitionBy("key").orderBy("ord")
+    whole = per.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = blocks(docs).withColumn("valid", F.is_valid_utf8("block")).withColumns({"sound": F.min("valid").over(whole), "nth": F.row_number().over(per)})
+    text = F.when(F.col("sound"), F.decode(F.when(F.col("valid"), F.col("block")), "UTF-8"))
+    kept = found.where("sound or nth = 1").withColumn("text", text).withColumn("error", F.when(~F.col("sound"), F.lit("not UTF-8"))).drop("block", "valid", "sound", "nth")
+    units = with_sections(with_kind(kept))
+    failed = F.col("error").isNotNull()
+    return units.withColumns({c: F.when(~failed, F.col(c)) for c in ("unit_id", "ord", "kind", "level", "parent", "start", "end")})
 
 
 def resolve(units: DataFrame, manifest: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -123,6 +130,31 @@ def resolve(units: DataFrame, manifest: DataFrame, blobs: DataFrame) -> DataFram
     return cut.select(*units.columns, F.when(problem.isNull() | (problem == "text differs"), text).alias("resolved"), problem.alias("problem"))
 
 
+def header_problems(extractions: DataFrame, records: DataFrame) -> DataFrame:
+    """(record_id, problem) of extractions whose head does not fit the record that they are held against: five checks.
+
+    extractions: record_id (the record they are held against), of_record, artifact_hash, source_hash, parser, normaliser (as
+    they state it). records: record_id, artifact_hash, source_hash, parser_name, parser_version."""
+    own = F.concat_ws("@", "parser_name", "parser_version")
+    real = records.select("record_id", F.col("artifact_hash").alias("r_artifact"), F.col("source_hash").alias("r_source"), F.when(F.col("parser_name").isNotNull(), own).alias("r_parser"), normaliser(F.col("parser_name")).alias("r_normaliser"), F.lit(True).alias("known"))
+    joined = extractions.join(real, "record_id", "left")
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    checks = {
+        "another record": differs("of_record", "record_id"), "another output": differs("artifact_hash", "r_artifact"), "another source": differs("source_hash", "r_source"),
+        "another parser": differs("parser", "r_parser"), "no normaliser": F.col("r_normaliser").isNull(), "another normaliser": F.col("r_normaliser").isNotNull() & differs("normaliser", "r_normaliser"),
+    }
+    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
+    return joined.select("record_id", F.explode(F.when(F.col("known").isNull(), F.array(F.lit("no record"))).otherwise(found)).alias("problem"))
+
+
+def verify_extractions(extractions: DataFrame, records: DataFrame, units: DataFrame, manifest: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(record_id, unit_id, problem): problems of heads, and where a head has none, those of its units' anchors."""
+    heads = header_problems(extractions, records)
+    sound = extractions.select("record_id").join(heads.select("record_id").distinct(), "record_id", "left_anti")
+    below = resolve(units.join(sound, "record_id", "left_semi"), manifest, blobs).where("problem is not null")
+    return heads.select("record_id", F.lit(None).cast("string").alias("unit_id"), "problem").unionByName(below.select("record_id", "unit_id", "problem"))
+
+
 def extraction_problems(units: DataFrame) -> DataFrame:
     """(record_id, unit_id, problem) of units that break the rules of an extraction: ids once, ord from 0 without gaps,
     known kinds, level with headings only, a parent that stands earlier, one kind of anchor."""
@@ -190,12 +222,23 @@ def normaliser(parser_name: Column) -> Column:
     return out
 
 
+#: What a message unit says of its message, where it is known.
+ATTRIBUTES = ("conversation_id", "conversation_title", "node_id", "message_id", "role", "author_name", "recipient", "content_type", "create_time", "depth", "sibling_index", "sibling_count", "is_leaf", "on_current_branch")
+
+
 def conversation_units(nodes: DataFrame) -> DataFrame:
-    """Message units (record_id, unit_id, ord, kind, text, pointer) of flattened conversations (record_id, node_id, ord, text);
-    nodes without text have none, and a unit's anchor is a pointer to its message."""
+    """Message units (record_id, unit_id, ord, kind, text, parent, pointer, attributes) of flattened conversations (record_id,
+    node_id, ord, text; parent_node_id and any of ATTRIBUTES); nodes without text have none. parent is the unit of the nearest
+    ancestor with text, the anchor a pointer to the message, and attributes a JSON object of those that are not null."""
     from provenir.functions.canon import json_pointer
 
     shown = nodes.where(F.coalesce(F.col("text"), F.lit("")) != "")
     run = Window.partitionBy("record_id").orderBy("ord")
     n = F.row_number().over(run)
-    return shown.select("record_id", F.format_string("u%06d", n).alias("unit_id"), (n - 1).alias("ord"), F.lit("message").alias("kind"), "text", json_pointer(F.lit("mapping"), F.col("node_id"), F.lit("message")).alias("pointer"))
+    above = F.col("parent_node_id") if "parent_node_id" in nodes.columns else F.lit(None).cast("string")
+    own = shown.withColumns({"unit_id": F.format_string("u%06d", n), "n": (n - 1), "above": above})
+    parents = own.select("record_id", F.col("node_id").alias("above"), F.col("unit_id").alias("parent"))
+    said = F.to_json(F.struct(*[F.col(c) for c in ATTRIBUTES if c in nodes.columns]))
+    pointer = json_pointer(F.lit("mapping"), F.col("node_id"), F.lit("message"))
+    rest = [F.col("digest")] if "digest" in nodes.columns else []
+    return own.join(parents, ["record_id", "above"], "left").select("record_id", "unit_id", F.col("n").alias("ord"), F.lit("message").alias("kind"), "text", "parent", pointer.alias("pointer"), said.alias("attributes"), *rest)

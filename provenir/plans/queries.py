@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provenir.functions import canon, refs
 from provenir.operators import campaign, chain, commits, compare, conversations, delivery, failures, ledger, manifests, markdown, resolution
 from provenir.plans.views import view, with_views
-from provenir.session import ship
+from provenir.session import ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +91,30 @@ def bundle_verify(spark, d):
     return manifests.bundle_verify(view(spark, d, "v_manifest"), view(spark, d, "v_blobs"))
 
 
+@query("""with s as (select digest, bool_and(sha256(content) = digest) as ok from v_blobs group by digest), b as (select record_id, count(*) filter (ok is null) as missing, count(*) filter (not ok) as bad from v_manifest left join s using (digest) group by record_id)
+select record_id, unnest(list_filter([case when doc_id % 9 = 0 then 'another tree' end, case when missing > 0 then 'blobs missing' end, case when bad > 0 then 'blobs altered' end], lambda x: x is not null)) as problem from v_records join b using (record_id)
+union all select 'none-' || doc_id, 'no tree' from v_records""")
+def bundle_problems(spark, d):
+    """Records that seal their tree's digest, but for some, and records without a bundle."""
+    manifest, given = view(spark, d, "v_manifest"), view(spark, d, "v_records").select("doc_id", "record_id")
+    sealed = given.join(manifests.tree_digest(manifest, "record_id"), "record_id").select("record_id", F.when(F.col("doc_id") % 9 == 0, "x").otherwise(F.col("digest")).alias("artifact_hash"))
+    none = given.select(F.concat(F.lit("none-"), F.col("doc_id").cast("string")).alias("record_id"), F.lit("x").alias("artifact_hash"))
+    return manifests.bundle_problems(manifest, view(spark, d, "v_blobs"), sealed.unionByName(none))
+
+
+@query("""with f as (select doc_id, source, sha256(text) as digest, octet_length(encode(text))::bigint as size from documents)
+select 'file-' || doc_id as input_id, 'file' as kind, digest, size, 1::bigint as file_count from f
+union all select 'dir-' || source, 'tree', sha256(string_agg('doc/' || lpad(doc_id::varchar, 8, '0') || chr(0) || digest || chr(0), '' order by doc_id)), sum(size)::bigint, count(*) from f where source is not null group by source
+union all select 'dir-empty', 'tree', sha256(''), 0, 0""")
+def staged_snapshots(spark, d):
+    files = read(spark, d, "documents").select("doc_id", "source", canon.sha256(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("size"))
+    path = F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path")
+    single, folder = F.concat(F.lit("file-"), F.col("doc_id").cast("string")).alias("input_id"), F.concat(F.lit("dir-"), "source").alias("input_id")
+    listed = files.select(single, path, "digest", "size").unionByName(files.where("source is not null").select(folder, path, "digest", "size"))
+    inputs = listed.select("input_id").distinct().withColumn("is_dir", F.startswith("input_id", F.lit("dir-"))).unionByName(spark.createDataFrame([("dir-empty", True)], "input_id string, is_dir boolean"))
+    return manifests.staged_snapshots(listed, inputs)
+
+
 @query("select record_id, path, digest from v_manifest where digest not in (select digest from v_blobs)")
 def missing_blobs(spark, d):
     return manifests.missing_blobs(view(spark, d, "v_manifest"), view(spark, d, "v_blobs")).select("record_id", "path", "digest")
@@ -155,10 +179,11 @@ def records_by_state(spark, d):
     return view(spark, d, "v_records").where(F.col("state").isin("failed", "invalidated")).select("record_id", "state", "created_at")
 
 
-@query("select record_id, run_id from v_records where source_hash in (select source_hash from v_records where doc_id % 100 = 7)")
+@query("select record_id, run_id from v_records where source_hash in (select digest from v_snapshots)")
 def records_by_source_hash(spark, d):
-    records = view(spark, d, "v_records")
-    return records.join(records.where("doc_id % 100 = 7").select("source_hash").distinct(), "source_hash", "left_semi").select("record_id", "run_id")
+    """Records of any source that was archived."""
+    looked_up = view(spark, d, "v_snapshots").select(F.col("digest").alias("source_hash")).distinct()
+    return view(spark, d, "v_records").join(looked_up, "source_hash", "left_semi").select("record_id", "run_id")
 
 
 @query("""select 'all' as view, count(*) as n from v_records union all select 'pending', count(*) from v_records where state = 'pending'
@@ -251,7 +276,8 @@ _TAMPERED = _CHAIN + """, t as (select chain, seq, kind, subject, case when (seq
 
 
 def _chain(spark, d):
-    return chain.build_chain(view(spark, d, "v_events_log"))
+    """The chains, hashed once and stored: every reader below reads a log that is there."""
+    return stored(chain.build_chain(view(spark, d, "v_events_log")))
 
 
 def _tampered(spark, d):
@@ -299,6 +325,34 @@ def reconcile_records(spark, d):
     return chain.reconcile(ledger.fold_states(view(spark, d, "v_record_events")), view(spark, d, "v_states"), "record_id", ("state",))
 
 
+#: The chain's records and, beside them, a ledger of which every key was altered somewhere.
+_TOLD = """r as (select *, '{"model":"m' || doc_id % 3 || '"}' as config, '{"document.md":"' || source_hash || '"}' as manifest, sha256('document.md' || chr(0) || source_hash || chr(0)) as tree from v_records),
+k as (select record_id, doc_id, doc_id % 37 = 8 as gone, doc_id % 41 = 9 as extra, doc_id % 23 = 5 as broken,
+  list_filter([case when doc_id % 13 = 2 then 'artifact_hash' end, case when doc_id % 19 = 4 then 'parser' end, case when doc_id % 43 = 6 then 'parser_config' end, case when doc_id % 29 = 6 then 'run_conditions' end,
+    case when doc_id % 11 = 1 then 'run_id' end, case when doc_id % 17 = 3 then 'source_hash' end, case when doc_id % 31 = 7 then 'state' end, case when doc_id % 13 = 2 or doc_id % 47 = 10 then 'manifest' end], lambda x: x is not null) as found from r)"""
+
+
+@query(f"with {_TOLD} select record_id, unnest(case when gone and extra then [] when gone then ['only in chain'] when extra then ['only in ledger'] when broken then ['malformed column'] else found end) as problem from k")
+def reconcile_record_keys(spark, d):
+    n = F.col("doc_id")
+    told = view(spark, d, "v_records").withColumns({
+        "parser_config": F.concat(F.lit('{"model": "m'), (n % 3).cast("string"), F.lit('"}')), "manifest": F.concat(F.lit('{"document.md":"'), F.col("source_hash"), F.lit('"}')),
+        "artifact_hash": canon.sha256(F.concat(F.lit("document.md\0"), F.col("source_hash"), F.lit("\0"))),
+    })
+    logged = commits.record_body(told.where(n % 41 != 9))
+    created = logged.select((n * 2).alias("seq"), F.col("record_id").alias("subject"), F.lit("record.created").alias("kind"), "body")
+    moves = F.create_map(*[F.lit(x) for k, v in ledger.REACHED.items() for x in (v, k)])
+    moved = logged.where("state <> 'pending'").select((n * 2 + 1).alias("seq"), F.col("record_id").alias("subject"), F.try_element_at(moves, F.col("state")).alias("kind"), F.lit("{}").alias("body"))
+    other = lambda c, when, value: F.when(when, value).otherwise(F.col(c))
+    actual = told.where(n % 37 != 8).withColumns({
+        "artifact_hash": other("artifact_hash", n % 13 == 2, canon.sha256(F.col("run_id"))), "parser_version": other("parser_version", n % 19 == 4, F.lit("9")),
+        "parser_config": F.when(n % 23 == 5, F.lit("{")).when(n % 43 == 6, F.lit('{"model":"x"}')).otherwise(F.col("parser_config")), "run_conditions": other("run_conditions", n % 29 == 6, F.lit('{"cpus":9}')),
+        "run_id": other("run_id", n % 11 == 1, F.lit("another")), "source_hash": other("source_hash", n % 17 == 3, F.lit("another")), "state": other("state", n % 31 == 7, F.lit("another")),
+        "manifest": other("manifest", n % 47 == 10, F.lit('{"document.md":"x"}')),
+    })
+    return ledger.record_differences(created.unionByName(moved), actual)
+
+
 @query("""select dispatch_id from (select dispatch_id, string_agg(event || coalesce(attempt_id, '-'), ',' order by event_id) as e, string_agg(case when event_id % 101 = 0 then 'intent' else event end || coalesce(attempt_id, '-'), ',' order by event_id) as a from v_delivery_events group by 1) where e <> a""")
 def reconcile_deliveries(spark, d):
     events = view(spark, d, "v_delivery_events")
@@ -395,16 +449,38 @@ def dispatch_results(spark, d):
 # Conversations.
 
 _TREE = """with recursive n as (select *, coalesce(parent, '-') as up from v_conv_nodes), k as (select conv_id, parent as node_id, count(*) as kids from v_conv_nodes where parent is not null group by 1, 2),
-p as (select *, row_number() over (partition by conv_id, up order by ord) - 1 as place, count(*) over (partition by conv_id, up) as among from n),
-t as (select conv_id, node_id, 0 as depth, place, 1::bigint as among, text, null::varchar as above, [ord] as path from p where parent is null
-  union all select p.conv_id, p.node_id, t.depth + 1, p.place, p.among, p.text, case when t.text <> '' then t.node_id else t.above end, list_append(t.path, p.ord) from p join t on p.conv_id = t.conv_id and p.parent = t.node_id),
+l as (select *, case when conv_id::bigint % 2 = 0 then -ord else ord end as key from n),
+p as (select *, row_number() over (partition by conv_id, up order by key) - 1 as place, count(*) over (partition by conv_id, up) as among from l),
+t as (select conv_id, node_id, 0 as depth, place, 1::bigint as among, text, null::varchar as above, [key] as path from p where parent is null
+  union all select p.conv_id, p.node_id, t.depth + 1, p.place, p.among, p.text, case when t.text <> '' then t.node_id else t.above end, list_append(t.path, p.key) from p join t on p.conv_id = t.conv_id and p.parent = t.node_id),
 c as (select conv_id, count(*) as node_count, count(*) filter (node_id not in (select node_id from k where k.conv_id = v.conv_id)) as branch_count from v_conv_nodes v group by 1)"""
 
 
 @query(_TREE + """ select t.conv_id, t.node_id, (row_number() over (partition by t.conv_id order by path) - 1)::bigint as ord, depth::int as depth, place::int as sibling_index, among::int as sibling_count, coalesce(kids, 0)::int as child_count, kids is null as is_leaf,
   above as parent_node_id, false as on_current_branch, node_count::int as node_count, branch_count::int as branch_count, text, null::varchar as problem from t join c using (conv_id) left join k using (conv_id, node_id)""")
 def conv_flatten(spark, d):
-    return conversations.flatten(view(spark, d, "v_conv_nodes"))
+    """Children in the order of their lists: last first in half of the conversations, with ids that name no node in some."""
+    return conversations.flatten(_listed(spark, d))
+
+
+def _listed(spark, d):
+    nodes = view(spark, d, "v_conv_nodes")
+    number = F.col("conv_id").cast("long")
+    below = nodes.where("parent is not null").groupBy("conv_id", F.col("parent").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "node_id"))).alias("c"))
+    ids = F.transform("c", lambda x: x["node_id"])
+    ids = F.when(number % 2 == 0, F.reverse(ids)).otherwise(ids)
+    return nodes.join(below.select("conv_id", "node_id", F.when(number % 3 == 0, F.concat(F.array(F.lit("gone")), ids, F.array(F.lit("lost")))).otherwise(ids).alias("children")), ["conv_id", "node_id"], "left")
+
+
+@query("""with c as (select conv_id, conv_id::bigint % 4 as kind, count(*) as n, count(*) filter (parent = 'n0') as under from v_conv_nodes group by 1)
+select conv_id, case when kind = 0 and under > 0 then 'reached twice' when kind = 1 then 'children are no list' when kind = 2 then 'reached twice' when kind = 3 and n > 1 then 'cycle' end as problem from c""")
+def conv_malformed_lists(spark, d):
+    """A child listed twice, children that are no list, a root that lists itself, nodes that no list names."""
+    kind, root = F.col("conv_id").cast("long") % 4, F.col("ord") == 0
+    listed = F.coalesce("children", F.array().cast("array<string>"))
+    spoiled = F.when((kind == 0) & root, F.concat(listed, listed)).when((kind == 2) & root, F.concat(listed, F.array("node_id"))).when(kind != 3, F.col("children"))
+    nodes = _listed(spark, d).withColumns({"children": spoiled, "children_ok": (kind != 1) | ~root})
+    return conversations.flatten(nodes).select("conv_id", "problem").distinct()
 
 
 @query("""with k as (select conv_id, parent from v_conv_nodes where parent is not null)
@@ -513,6 +589,29 @@ def extraction_problems(spark, d):
     return markdown.extraction_problems(anchors.withColumn("kind", bad).withColumn("start", F.lit(None).cast("long")))
 
 
+@query("""select doc_id as key, case when doc_id % 7 = 0 then 'not UTF-8' end as error, case when doc_id % 7 = 0 then 1 else len(string_split(text, chr(10))) end as n from documents""")
+def md_errors(spark, d):
+    """Documents of which some end in a byte that is no UTF-8: no units and one row with the error."""
+    spoiled = F.when(F.col("key") % 7 == 0, F.concat("content", F.lit(b"\n\nok\n\n\xff"))).otherwise(F.col("content"))
+    units = markdown.normalise(_markdown(spark, d).select("key", spoiled.alias("content")))
+    return units.groupBy("key", "error").agg(F.count("*").alias("n"))
+
+
+@query("""with e as (select record_id, doc_id, parser_name, list_filter([case when doc_id % 5 = 0 then 'another record' end, case when doc_id % 6 = 0 then 'another output' end, case when doc_id % 7 = 0 then 'another source' end, case when doc_id % 9 = 0 then 'another parser' end,
+  case when parser_name = 'probe' then 'no normaliser' end, case when parser_name <> 'probe' and doc_id % 11 = 0 then 'another normaliser' end], lambda x: x is not null) as found from v_records)
+select record_id, unnest(found) as problem from e union all select 'gone-' || doc_id, 'no record' from v_records where doc_id % 13 = 0""")
+def extraction_headers(spark, d):
+    n = F.col("doc_id")
+    records = view(spark, d, "v_records")
+    changed = lambda c, k: F.when(n % k == 0, F.lit("x")).otherwise(c)
+    said = records.select(
+        "doc_id", "record_id", changed(F.col("record_id"), 5).alias("of_record"), changed(F.col("artifact_hash"), 6).alias("artifact_hash"), changed(F.col("source_hash"), 7).alias("source_hash"),
+        changed(F.concat_ws("@", "parser_name", "parser_version"), 9).alias("parser"), changed(markdown.normaliser(F.col("parser_name")), 11).alias("normaliser"),
+    )
+    gone = said.where(n % 13 == 0).withColumn("record_id", F.concat(F.lit("gone-"), n.cast("string")))
+    return markdown.header_problems(said.unionByName(gone), records)
+
+
 @query("""select event_id, '/props/' || replace(replace(event_type || '~' || props, '~', '~0'), '/', '~1') as pointer from events""")
 def json_pointer_build(spark, d):
     return read(spark, d, "events").select("event_id", canon.json_pointer(F.lit("props"), F.concat("event_type", F.lit("~"), "props")).alias("pointer"))
@@ -563,7 +662,7 @@ def observation_digest(spark, d):
 # Comparison and replay.
 
 
-@query("""select event_id as key, '/value' as path, value || ' != ' || (value + case when event_id % 3 = 0 then 0.5::double else 0.001::double end) || ' beyond tolerance' as finding from events where event_id % 3 = 0""")
+@query("""select event_id as key, '/value' as path, value || ' and ' || (value + case when event_id % 3 = 0 then 0.5::double else 0.001::double end) || ' are too far apart' as finding from events where event_id % 3 = 0""")
 def json_tolerance(spark, d):
     text = lambda v: F.concat(F.lit('{"at":'), F.col("event_id").cast("string"), F.lit(',"value":'), v.cast("string"), F.lit("}"))
     moved = F.col("value") + F.when(F.col("event_id") % 3 == 0, 0.5).otherwise(0.001)
@@ -572,6 +671,34 @@ def json_tolerance(spark, d):
     return compare.json_findings(pairs, policy)
 
 
+@query("""select event_id as key, unnest(list_filter([case when event_id % 4 = 0 then 'b.bin' end, case when event_id % 5 = 0 then 'new.txt' end, case when event_id % 3 = 0 then 'a.json/v' end, case when event_id % 7 = 0 then 'c.bin' end], lambda x: x is not null)) as path,
+  unnest(list_filter([case when event_id % 4 = 0 then 'only recorded' end, case when event_id % 5 = 0 then 'only replayed' end, case when event_id % 3 = 0 then event_id || ' is not ' || (event_id + 1) end, case when event_id % 7 = 0 then 'other bytes' end], lambda x: x is not null)) as finding from events""")
+def policy_file_sets(spark, d):
+    """Two sets of files for each event: one goes, one comes, JSON differs in a number or in layout alone, other bytes differ."""
+    n = F.col("event_id")
+    number = lambda v: F.concat(F.lit('{"v":'), v.cast("string"), F.lit("}"))
+    sides = {
+        "recorded": {"a.json": number(n), "b.bin": F.lit("b"), "c.bin": F.lit("c"), "d.json": F.lit('{"x":1,"y":[1.0]}')},
+        "replayed": {"a.json": number(F.when(n % 3 == 0, n + 1).otherwise(n)), "b.bin": F.when(n % 4 != 0, "b"), "c.bin": F.when(n % 7 == 0, "C").otherwise("c"), "d.json": F.lit('{"y": [1.0], "x": 1}'), "new.txt": F.when(n % 5 == 0, "new")},
+    }
+    events = read(spark, d, "events").select(n.alias("key"), n)
+    files = {k: events.select("key", F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("path"), c.alias("content")) for p, c in v.items()]), lambda x: x["content"].isNotNull())).alias("f")).select("key", "f.path", "f.content").withColumn("digest", canon.sha256(F.col("content"))) for k, v in sides.items()}
+    blobs = files["recorded"].unionByName(files["replayed"]).select("digest", "content").distinct()
+    return compare.output_findings(files["recorded"], files["replayed"], blobs, compare.JsonPolicy())
+
+
+@query("select replay_id, cast(doc_id as varchar) as replayed_at from v_replays where doc_id % 10 = 8")
+def replays_by_outcome(spark, d):
+    replays = view(spark, d, "v_replays").select("replay_id", F.col("doc_id").cast("string").alias("replayed_at"), F.col("state").alias("outcome"))
+    return compare.replays_of(replays, outcome="invalidated").select("replay_id", "replayed_at")
+
+
+@query("select replay_id, parser_name is not null and doc_id % 3 = 0 as in_catalog from v_replays")
+def parser_catalogue(spark, d):
+    specs = compare.catalogue(spark.createDataFrame([("mineru", "0"), ("marker", "0")], "name string, version string"))
+    return compare.in_catalogue(view(spark, d, "v_replays").withColumn("parser_version", (F.col("doc_id") % 3).cast("string")), specs).select("replay_id", "in_catalog")
+
+
 @query("""select vec_id as key, len(embedding)::int as compared, len(list_filter(embedding, lambda x: not (abs(x::double - (x::double + vec_id % 5 * 0.0001::double)) <= greatest(0.001::double * greatest(abs(x::double), abs(x::double + vec_id % 5 * 0.0001::double)), 0.00015::double))))::int as beyond,
   len(list_filter(embedding, lambda x: not (abs(x::double - (x::double + vec_id % 5 * 0.0001::double)) <= greatest(0.001::double * greatest(abs(x::double), abs(x::double + vec_id % 5 * 0.0001::double)), 0.00015::double)))) = 0 as close from embeddings""")
 def float_tolerance(spark, d):
@@ -620,6 +747,24 @@ def lane_outcomes(spark, d):
     return campaign.compare_lanes(corpus, journal, BASE, LANES[1:])
 
 
+@query(f"""with {_OUTCOMES}, m as (select path, lane, case when lane = 'base' then doc_id % 6 else doc_id % 10 end = 0 as lost from v_journal)
+select o.path, o.lane, case when outcome in ('identical', 'diverged') and (m.lost or n.lost) then 'error' else outcome end as outcome from o left join m on m.path = o.path and m.lane = o.lane left join m n on n.path = o.path and n.lane = 'base'""")
+def lane_outcomes_recorded(spark, d):
+    """Sealed observations of which some name a record that is not in the ledger."""
+    journal, corpus = _journal(spark, d)
+    named = journal.withColumn("record_id", F.concat("path", F.lit("@"), "lane"))
+    lost = F.when(F.col("lane") == BASE, F.col("doc_id") % 6 == 0).otherwise(F.col("doc_id") % 10 == 0)
+    return campaign.compare_lanes(corpus, named, BASE, LANES[1:], records=named.where(~lost).select("record_id")).select("path", "lane", "outcome")
+
+
+@query("""select unnest(['lanes', 'parser', 'seed', 'started']) as field, unnest(['differs', 'missing', 'differs', 'unknown']) as problem where (select count(*) from v_doc_corpus) > 0""")
+def journal_header(spark, d):
+    """A journal resumed with another number of lanes, without its parser, with another seed and with a field of its own."""
+    n = view(spark, d, "v_doc_corpus").agg(F.count("*").cast("string").alias("n"))
+    fields = lambda **x: n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.concat(F.lit(v), "n").alias("value")) for k, v in x.items()])).alias("f")).select("f.*")
+    return campaign.header_problems(fields(corpus="c", lanes="2", seed="1", started="t"), fields(corpus="c", lanes="3", parser="p", seed="2"))
+
+
 @query(f"with {_OUTCOMES} select lane, count(*) as n, round(median(r), 6) as median_slowdown from o where outcome = 'identical' and r is not null group by 1")
 def slowdown(spark, d):
     return campaign.slowdowns(lane_outcomes(spark, d))
@@ -661,14 +806,18 @@ def double_claims(spark, d):
 x as (select (select count(*) from v_doc_corpus)::double as docs, (select count(*) from (select path, unnest(['base', 'cand_a', 'cand_b']) as lane from v_doc_corpus) w where not exists (select 1 from j where j.path = w.path and j.lane = w.lane))::double as missing,
   (select count(*) from b where status = 'sealed')::double as sealed, (select count(*) from b where status = 'failed')::double as failed, (select count(*) from b where status <> 'not_applicable')::double as applicable, (select count(*) from j where status = 'error')::double as errors,
   (select count(*) from o where outcome in ('incomplete', 'error', 'diverged', 'regression', 'failure_mismatch') and not exists (select 1 from v where v.path = o.path and v.lane = o.lane and v.outcome = o.outcome))::double as unwaived,
-  (select count(*) from v_waivers w where not exists (select 1 from o where w.path = o.path and w.lane = o.lane and w.outcome = o.outcome))::double as unused, (select count(*) from s where m > 1.15::double)::double as slow)
-select 'coverage' as gate, missing = 0 and docs > 0 as passed, missing as value from x union all select 'baseline_produced_output', sealed > 0, sealed from x union all select 'no_errors', errors = 0, errors from x
+  (select count(*) from v_waivers w where not exists (select 1 from o where w.path = o.path and w.lane = o.lane and w.outcome = o.outcome))::double as unused, (select count(*) from s where m > 1.15::double)::double as slow,
+  (select count(*) from v_corpus a full join v_present b on a.path = b.path where a.digest is distinct from b.digest)::double as changed, (select count(*) from v_journal where doc_id % 6 = 0 and status = 'sealed')::double as unsound,
+  (select count(*) from v_states where record_id like 'rec-%7')::double as chain, (select count(*) from v_replays where doc_id % 40 = 1)::double as replays)
+select 'corpus_unchanged' as gate, changed = 0 as passed, changed as value from x union all select 'records_verified', unsound = 0, unsound from x union all select 'ledger_verified', chain + replays = 0, chain + replays from x
+union all select 'coverage' as gate, missing = 0 and docs > 0 as passed, missing as value from x union all select 'baseline_produced_output', sealed > 0, sealed from x union all select 'no_errors', errors = 0, errors from x
 union all select 'candidates_agree', unwaived = 0, unwaived from x union all select 'waivers_used', unused = 0, unused from x union all select 'baseline_failure_rate', failed / applicable <= 0.1::double, failed / applicable from x union all select 'slowdown', slow = 0, slow from x""")
 def gates(spark, d):
     journal, corpus = _journal(spark, d)
     compared = lane_outcomes(spark, d)
     unwaived, unused = campaign.apply_waivers(compared, view(spark, d, "v_waivers"))
-    return campaign.gates(corpus, LANES, BASE, journal, compared, unwaived, unused, 0.1, 1.15)
+    told = [view(spark, d, "v_states").where("record_id like 'rec-%7'"), view(spark, d, "v_replays").where("doc_id % 40 = 1")]
+    return campaign.gates(corpus, LANES, BASE, journal, compared, unwaived, unused, 0.1, 1.15, corpus_drift(spark, d), journal.where("doc_id % 6 = 0 and status = 'sealed'"), told)
 
 
 @query("""select signoff_id, s.record_id, case when r.state is null then 'gone' when r.state <> 'sealed' then 'is ' || r.state else 'other contents' end as problem from v_signoffs s left join v_records r using (record_id) where r.state is null or r.state <> 'sealed' or r.artifact_hash <> s.artifact_hash""")
@@ -676,6 +825,13 @@ def signoff_stale(spark, d):
     return campaign.stale_signoffs(view(spark, d, "v_signoffs"), view(spark, d, "v_records"))
 
 
+@query("""select doc_id as signoff_id, case when doc_id % 5 = 2 then 'head missing' else 'head differs' end as problem from documents where doc_id > 0 and (doc_id % 5 = 2 or doc_id % 7 = 3)""")
+def signoff_heads(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", canon.sha256(F.col("text")).alias("hash"))
+    heads = docs.select(F.col("doc_id").alias("signoff_id"), F.col("doc_id").alias("head_seq"), F.when(F.col("doc_id") % 7 == 3, "x").otherwise(F.col("hash")).alias("head_hash"))
+    return campaign.lost_heads(heads, docs.where("doc_id % 5 <> 2").select(F.col("doc_id").alias("seq"), "hash"))
+
+
 # Failures and backends.
 
 
@@ -754,6 +910,41 @@ def dispatchable(spark, d):
     return commits.dispatchable(view(spark, d, "v_records"), bundle_verify(spark, d), view(spark, d, "v_deliveries"), view(spark, d, "v_delivery_events"))
 
 
+@query("""with v as (select *, doc_id::bigint as n from documents), s as (select n, 'dlv-' || n as dispatch_id, n % 3 = 0 as bad, n % 7 <> 0 as sent, case when n % 5 = 0 then 'refused' end as error, n % 11 = 0 as gone from v where n % 2 = 0)
+select dispatch_id, 1 as step, 'failure' as event, 'empty content' as detail, 'now' as "at" from s where bad union all select dispatch_id, 2, 'intent', 'd' || n, 'now' from s where not bad union all select dispatch_id, 3, 'receipt', null, 'now' from s where not bad and sent and error is null
+union all select dispatch_id, 4, 'failure', error, 'now' from s where not bad and sent and error is not null union all select dispatch_id, 5, 'removal_intent', null, 'now' from s where not bad and sent and error is null and gone""")
+def dispatch_log(spark, d):
+    """What dispatching half of the deliveries writes: payloads that break a rule, targets that refuse or don't answer, records
+    invalidated meanwhile."""
+    n = F.col("n")
+    own = read(spark, d, "documents").select(F.col("doc_id").alias("n"), F.concat(F.lit("dlv-"), F.col("doc_id").cast("string")).alias("dispatch_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("record_id"))
+    verdicts = own.select("dispatch_id", "record_id", F.when(n % 2 == 0, "ready").otherwise("not sealed").alias("verdict"))
+    violations = own.where(n % 3 == 0).select("record_id", F.lit("empty content").alias("violation"))
+    payloads = own.select("record_id", F.concat(F.lit("d"), n.cast("string")).alias("digest"))
+    written = own.where(n % 7 != 0).select("dispatch_id", F.when(n % 5 == 0, "refused").alias("error"))
+    states = own.select("record_id", F.when(n % 11 == 0, "invalidated").otherwise("sealed").alias("state"))
+    return commits.dispatch_events(verdicts, violations, payloads, written, states, F.lit("now"))
+
+
+@query("""select 'dlv-' || doc_id as dispatch_id, case when doc_id % 4 = 0 then 'removal_failure' else 'removal_receipt' end as event, case when doc_id % 4 = 0 then 'busy' end as detail from documents where doc_id % 3 <> 0""")
+def removal_log(spark, d):
+    own = read(spark, d, "documents").select("doc_id", F.concat(F.lit("dlv-"), F.col("doc_id").cast("string")).alias("dispatch_id"))
+    answers = own.where("doc_id % 3 <> 0").select("dispatch_id", F.when(F.col("doc_id") % 4 == 0, "busy").alias("error"))
+    return commits.removal_events(own.unionByName(own), answers, F.lit("now")).drop("at")
+
+
+@query("""select user_id, 'index:{"collection":' || to_json(event_type) || ',"host":null,"name":"' || user_id || '"}' as target from events""")
+def target_encoding(spark, d):
+    fields = {"name": F.col("user_id").cast("string"), "collection": F.col("event_type"), "host": F.lit(None).cast("string")}
+    return read(spark, d, "events").select("user_id", commits.encode_target(F.lit("index"), fields).alias("target"))
+
+
+@query("""select run_id, case when memory_limit <> '' and regexp_full_match(memory_limit, '(\\d+(\\.\\d+)?) ?[kKmMgGtTpP]?[iI]?[bB]?') and try_cast(regexp_extract(memory_limit, '^[0-9.]+') as double) > 0 then '{"cpus":2.0,"memory":' || to_json(memory_limit) || '}' end as conditions from v_runs""")
+def conditions_form(spark, d):
+    stated = F.concat(F.lit('{ "memory": '), canon.quote_json(F.col("memory_limit")), F.lit(', "cpus": 2.0 }'))
+    return view(spark, d, "v_runs").select("run_id", ledger.canonical_conditions(stated).alias("conditions"))
+
+
 @query("""select v.dispatch_id, count(event_id) as n, coalesce(string_agg(event, ',' order by event_id), '') as log from v_deliveries v left join v_delivery_events using (dispatch_id) group by 1""")
 def delivery_history(spark, d):
     logs = commits.history(view(spark, d, "v_deliveries"), view(spark, d, "v_delivery_events"))
@@ -802,13 +993,17 @@ def extraction_chunks(spark, d):
     return markdown.chunks(good).select("chunk_id", "content_hash")
 
 
-@query("""select conv_id, 'u' || printf('%06d', row_number() over w) as unit_id, '/mapping/' || node_id || '/message' as pointer from v_conv_nodes where text <> '' window w as (partition by conv_id order by ord)""")
+@query(_TREE + """, f as (select t.*, (row_number() over (partition by conv_id order by path) - 1)::bigint as ord from t), u as (select *, 'u' || printf('%06d', row_number() over (partition by conv_id order by ord)) as unit_id from f where text <> '')
+select u.conv_id, u.unit_id, '/mapping/' || u.node_id || '/message' as pointer, a.unit_id as parent, '{"node_id":"' || u.node_id || '"' || case when v.role <> 'user' then ',"role":"' || v.role || '"' else '' end || ',"depth":' || u.depth || '}' as attributes
+from u left join u a on a.conv_id = u.conv_id and a.node_id = u.above join v_conv_nodes v on v.conv_id = u.conv_id and v.node_id = u.node_id""")
 def message_units(spark, d):
-    flat = view(spark, d, "v_conv_nodes").select(F.col("conv_id").alias("record_id"), "node_id", "ord", "text")
-    return markdown.conversation_units(flat).select(F.col("record_id").alias("conv_id"), "unit_id", "pointer")
+    nodes = _listed(spark, d)
+    roles = nodes.select("conv_id", "node_id", F.when(F.col("role") != "user", F.col("role")).alias("role"))
+    flat = conversations.flatten(nodes).join(roles, ["conv_id", "node_id"]).select(F.col("conv_id").alias("record_id"), "node_id", "ord", "text", "parent_node_id", "role", "depth")
+    return markdown.conversation_units(flat).select(F.col("record_id").alias("conv_id"), "unit_id", "pointer", "parent", "attributes")
 
 
-@query()
+@query("select doc_id, case doc_id % 5 when 0 then 'form' when 1 then 'fields' when 2 then 'schema' when 3 then 'not an object' end as problem from documents")
 def strict_records(spark, d):
     """Records of which some are not canonical, and what is wrong with them."""
     record = canon.snapshot_record(F.lit("file"), canon.sha256(F.col("text")), F.octet_length("text"), F.lit(1))
