@@ -278,9 +278,139 @@ def test_empty_tables(spark):
     assert conversations.flatten(spark.createDataFrame([], "conv_id string, node_id string, parent string, ord long, text string")).count() == 0
 
 
-def test_pending_takes_all_lanes_or_fails(spark):
-    corpus, seen = spark.createDataFrame([("p",)], "path string"), spark.createDataFrame([("p", "l3")], "path string, lane string")
-    lanes = lambda n: spark.range(n).select(F.concat(F.lit("l"), "id").alias("lane"), F.col("id").cast("int").alias("lane_order"))
-    assert campaign.pending(corpus, lanes(campaign.MOST_LANES), seen).count() == campaign.MOST_LANES - 1
-    with pytest.raises(ValueError, match="lanes"):
-        campaign.pending(corpus, lanes(campaign.MOST_LANES + 1), seen)
+def test_pending_takes_all_lanes(spark):
+    corpus, seen = spark.createDataFrame([("p",), ("q",)], "path string"), spark.createDataFrame([("p", "l3")], "path string, lane string")
+    lanes = spark.range(1500).select(F.concat(F.lit("l"), "id").alias("lane"), F.col("id").cast("int").alias("lane_order"))
+    assert campaign.pending(corpus, lanes, seen).count() == 2999
+    assert rows(campaign.pending(corpus, lanes, seen, at_most=4)) == [("p", "l0"), ("p", "l1"), ("p", "l2"), ("p", "l4")]
+
+
+LISTED = "conv_id string, node_id string, parent string, children array<string>, ord long, text string, children_ok boolean"
+
+
+def test_children_lists(spark):
+    """Order of lists, ids that name no node, a root whose parent is not there."""
+    nodes = [("c", "r", "out", ["b", "lost", "a"], 0, "", True), ("c", "a", "r", None, 1, "first by ord", True), ("c", "b", "r", ["x"], 2, "second", True), ("c", "x", "b", [], 3, "deep", True)]
+    got = {r.node_id: r for r in conversations.flatten(spark.createDataFrame(nodes, LISTED)).collect()}
+    assert [got[n].ord for n in ("r", "b", "x", "a")] == [0, 1, 2, 3]
+    assert (got["a"].sibling_index, got["a"].sibling_count, got["r"].child_count, got["x"].parent_node_id, got["r"].branch_count) == (1, 2, 2, "b", 2)
+
+
+@pytest.mark.parametrize(("change", "problem"), [({"r": ["a", "a"]}, "reached twice"), ({"a": ["r"]}, "reached twice"), ({"r": ["a"]}, "cycle"), ({"r": ["b", "a"]}, None)])
+def test_lists_that_are_no_trees(spark, change, problem):
+    lists = {"r": ["a", "b"], "a": None, "b": None, **change}
+    nodes = [("c", n, None if n == "r" else "r", lists[n], i, "t", True) for i, n in enumerate(lists)]
+    assert {r.problem for r in conversations.flatten(spark.createDataFrame(nodes, LISTED)).collect()} == {problem}
+    broken = [(*x[:6], x[1] != "a") for x in nodes]
+    assert [(r.problem, r.node_id) for r in conversations.flatten(spark.createDataFrame(broken, LISTED)).collect()] == [("children are no list", None)]
+
+
+def test_placing_against_recursion():
+    """Random trees, by a plain recursive walk."""
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randrange(1, 40)
+        ids = [f"n{i}" for i in range(n)]
+        parents = [None if i == 0 or rng.random() < 0.1 else f"n{rng.randrange(i)}" for i in range(n)]
+        shown = [rng.random() < 0.6 for _ in ids]
+        below = {x: [c for c, p in zip(ids, parents) if p == x] for x in ids}
+        for c in below.values():
+            rng.shuffle(c)
+        want = []
+
+        def walk(node, depth, place, above):
+            want.append((node, depth, place, above))
+            for k, c in enumerate(below[node]):
+                walk(c, depth + 1, k, node if shown[ids.index(node)] else above)
+
+        for k, root in enumerate(x for x, p in zip(ids, parents) if p is None):
+            walk(root, 0, k, None)
+        got = sorted(conversations._placed(ids, parents, [below[x] for x in ids], shown, None, True)["nodes"], key=lambda x: x["ord"])
+        assert [(ids[x["node"]], x["depth"], x["sibling_index"], None if x["above"] is None else ids[x["above"]]) for x in got] == want
+
+
+def test_parse_conversation():
+    text = json.dumps({"mapping": {"r": {"children": ["a", 3], "message": {"content": {"parts": ["x"]}}}, "a": {"parent": "r", "children": "b"}, "s": "no object", "t": {"parent": 7, "children": None}}})
+    got = conversations.parse_conversation(text)
+    assert [(x["node_id"], x["parent"], x["children"], x["children_ok"]) for x in got] == [("r", None, ["a"], True), ("a", "r", None, False), ("s", None, None, True), ("t", None, None, True)]
+    assert got[0]["content"] == '{"parts": ["x"]}' and conversations.parse_conversation("{}") == []
+    with pytest.raises(ValueError, match="mapping"):
+        conversations.parse_conversation('{"mapping":[]}')
+
+
+def test_roots_and_duplicate_nodes(spark):
+    nodes = spark.createDataFrame([("c", "a", None), ("c", "b", "a"), ("c", "b", "a"), ("c", "d", "gone"), ("e", "a", "a")], "conv_id string, node_id string, parent string")
+    assert rows(conversations.roots(nodes), "conv_id", "node_id") == [("c", "a"), ("c", "d")]
+    assert rows(conversations.duplicate_nodes(nodes)) == [("c", "b", 2)]
+
+
+def test_chains_go_on_from_a_head_and_in_order(spark):
+    events = [(c, i, "k", f"s{i}", '{"q":"\\u0001\\""}', "t") for c in ("x", "y", None) for i in (3, 1, 2)]
+    made = chain.build_chain(spark.createDataFrame(events, "chain string, ord long, kind string, subject string, body string, `at` string").repartition(4), first=7, prev="f" * 64)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.chain, []).append(r)
+    for log in got.values():
+        last = "f" * 64
+        for n, r in enumerate(sorted(log, key=lambda r: r.seq)):
+            body = {"at": r.at, "body": r.body, "kind": r.kind, "prev": last, "seq": 8 + n, "subject": f"s{n + 1}"}
+            last = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+            assert (r.seq, r.subject, r.hash) == (8 + n, f"s{n + 1}", last)
+    assert len(got) == 3
+
+
+def test_clash_looks_folders_up(spark):
+    d = "0" * 64
+    many = "".join(f"f{i:05d}/x\0{d}\0" for i in range(20_000))
+    got = spark.createDataFrame([(many,), (many + f"f19999/x/y\0{d}\0",), (f"a\0{d}\0a.b/c\0{d}\0",)], "t string").select(manifests.tree_problem(F.col("t")).alias("p")).collect()
+    assert [r.p for r in got] == [None, "clash", None]
+
+
+def test_file_sets_under_a_policy(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    texts = {"1": '{"v":1.0}', "2": '{"v": 1.05}', "3": "b", "4": "c", "5": deep, "6": deep + " "}
+    side = lambda *x: spark.createDataFrame([("k", p, d) for p, d in x], "key string, path string, digest string")
+    blobs = spark.createDataFrame([(d, bytearray(t.encode())) for d, t in texts.items()], "digest string, content binary")
+    policy = compare.JsonPolicy(compare.Tolerance(abs=0.1))
+    got = compare.output_findings(side(("a.json", "1"), ("gone", "3"), ("t", "3"), ("same", "3"), ("deep.json", "5")), side(("a.json", "2"), ("new", "3"), ("t", "4"), ("same", "3"), ("deep.json", "6")), blobs, policy)
+    assert rows(got, "path", "finding") == [("deep.json", "not comparable as JSON"), ("gone", "only recorded"), ("new", "only replayed"), ("t", "other bytes")]
+    assert rows(compare.output_findings(side(("a.json", "1")), side(("a.json", "2")), blobs, compare.JsonPolicy()), "path") == [("a.json/v",)]
+
+
+def test_catalogue_lists_each_once(spark):
+    specs = spark.createDataFrame([("p", "1"), ("p", "2")], "name string, version string")
+    assert compare.catalogue(specs).count() == 2
+    with pytest.raises(ValueError, match="p 1"):
+        compare.catalogue(specs.unionByName(specs))
+
+
+def test_verifying_extractions(spark):
+    text = "# Title\n\nBody é"
+    docs = spark.createDataFrame([("r", bytearray(text.encode()))], "key string, content binary")
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    units = markdown.normalise(docs).select(F.col("key").alias("record_id"), "unit_id", F.lit("document.md").alias("artifact"), F.lit(digest).alias("digest"), "start", "end", F.when(F.col("unit_id") == "u000002", "other").otherwise(F.col("text")).alias("text"))
+    manifest = spark.createDataFrame([("r", "document.md", digest)], "record_id string, path string, digest string")
+    blobs = docs.select(F.lit(digest).alias("digest"), "content")
+    records = spark.createDataFrame([("r", "a", "s", "mineru", "1")], "record_id string, artifact_hash string, source_hash string, parser_name string, parser_version string")
+    head = lambda *x: spark.createDataFrame([("r", *x)], "record_id string, of_record string, artifact_hash string, source_hash string, parser string, normaliser string")
+    assert rows(markdown.verify_extractions(head("r", "a", "s", "mineru@1", "markdown"), records, units, manifest, blobs)) == [("r", "u000002", "text differs")]
+    bad = markdown.verify_extractions(head("q", "b", "t", "mineru@2", "conversation"), records, units, manifest, blobs)
+    assert sorted(r.problem for r in bad.collect()) == ["another normaliser", "another output", "another parser", "another record", "another source"]
+
+
+def test_blocks_that_are_no_utf8_fail_their_document(spark):
+    docs = spark.createDataFrame([("a", bytearray(b"ok\n\n\xff\xfe\n\nok")), ("b", bytearray(b"ok\r\n\r\nHead\r\n====\r\n"))], "key string, content binary")
+    got = {(r.key, r.unit_id): r for r in markdown.normalise(docs).collect()}
+    assert set(got) == {("a", None), ("b", "u000001"), ("b", "u000002")} and got["a", None].error == "not UTF-8"
+    assert got["b", "u000002"].kind == "heading" and got["b", "u000002"].error is None
+
+
+def test_small_functions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(canon.config_digest(F.lit('{"b": 1, "a": 2}'))) == hashlib.sha256(b'{"a":2,"b":1}').hexdigest()
+    assert [one(markdown.normaliser(F.lit(p))) for p in ("mineru", "export-split", "other")] == ["markdown", "conversation", None]
+    assert [compare.input_name("file", n) for n in ("a b/é.txt", "...", ".hidden", "")] == ["a_b__.txt", "input", "hidden", "input"] and compare.input_name("tree", "..") == "tree"
+    said = lambda f, code, err: one(failures.describe_failure(F.lit(f), F.lit(code), F.lit(err)))
+    assert said("exit_status", 3, "one\ntwo\n \n") == "ended with status 3: two" and said("syscall_blocked", 0, None) == "syscall blocked" and said("timeout", 0, "") == "took too long"
+    runs = spark.createDataFrame([(1, False, None, None, None), (2, True, "h", "r", "f"), (3, True, None, "r", "f"), (4, True, None, "r", None), (5, True, None, None, None)], "n int, applicable boolean, host_error string, refusal string, failure string")
+    assert rows(campaign.observe(runs), "n", "status") == [(1, "not_applicable"), (2, "error"), (3, "failed"), (4, "containment_error"), (5, "sealed")]

@@ -1,6 +1,7 @@
 """Files, journals, blob tables and the streaming tail."""
 
 import hashlib
+import os
 
 from provenir.operators import chain
 from provenir.sources import files
@@ -9,11 +10,37 @@ from tests.test_evidence import CHAIN, _chain_rows
 
 
 def test_scan_corpus(spark, tmp_path):
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "x.txt").write_bytes(b"one")
-    (tmp_path / "y.txt").write_bytes(b"two!")
-    got = {r.path: (r.sha256, r.size) for r in files.scan_corpus(spark, str(tmp_path)).collect()}
-    assert got == {"a/x.txt": (hashlib.sha256(b"one").hexdigest(), 3), "y.txt": (hashlib.sha256(b"two!").hexdigest(), 4)}
+    (tmp_path / "a" / "_b").mkdir(parents=True)
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "empty").mkdir()
+    contents = {"a/x.txt": b"one", "y.txt": b"two!", ".hidden": b"", "_under": b"u", "a/_b/.deep": b"d" * 3_000_000, ".git/config": b"c", "sp ace %41.txt": b"s"}
+    for path, content in contents.items():
+        (tmp_path / path).write_bytes(content)
+    (tmp_path / "link").symlink_to(tmp_path / "y.txt")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path)
+    os.mkfifo(tmp_path / "pipe")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.path: (r.sha256, r.size, r.reason) for r in files.scan_corpus(spark, root).collect()}
+        want = {p: (hashlib.sha256(c).hexdigest(), len(c), None) for p, c in contents.items()}
+        assert got == want | {"link": (None, None, "symlink"), "a/loop": (None, None, "symlink"), "pipe": (None, None, "not a regular file")}
+    assert {r.path for r in files.scan_corpus(spark, str(tmp_path), "*.txt").collect()} == {"a/x.txt", "y.txt", "sp ace %41.txt"}
+
+
+def test_export_is_verified_and_never_overwrites(spark, tmp_path):
+    import pytest
+
+    digest = hashlib.sha256(b"x").hexdigest()
+    blobs = spark.createDataFrame([(digest, bytearray(b"x")), ("0" * 64, bytearray(b"y"))], "digest string, content binary")
+    assert files.export_blob(blobs, digest, str(tmp_path / "out")) == 1 and (tmp_path / "out").read_bytes() == b"x"
+    for key, path, error in ((digest, "out", FileExistsError), ("0" * 64, "new", ValueError), ("1" * 64, "new", KeyError)):
+        with pytest.raises(error):
+            files.export_blob(blobs, key, str(tmp_path / path))
+    assert not (tmp_path / "new").exists()
+
+
+def test_waivers_are_read(spark, tmp_path):
+    (tmp_path / "w.json").write_text('[{"path":"p","lane":"l","outcome":"diverged","reason":"known"},\n{"path":"q","lane":"l","outcome":"regression"}]')
+    assert sorted((r.path, r.reason) for r in files.read_waivers(spark, str(tmp_path / "w.json")).collect()) == [("p", "known"), ("q", None)]
 
 
 def test_journal_without_its_torn_line(spark, tmp_path):
@@ -32,24 +59,34 @@ def test_blobs_are_stored_once(spark, tmp_path):
 
 
 def test_tail_follows_a_chain(spark, tmp_path):
-    rows = _chain_rows(6)
+    rows = _chain_rows(9)
     del rows[3]
-    spark.createDataFrame(rows, CHAIN).write.parquet(str(tmp_path / "log"))
-    q = tail.follow(tail.read_chain(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert [tuple(r) for r in spark.sql("select seq, problem from found").collect()] == [(5, "gap")]
-    assert chain.tail(spark.createDataFrame(rows, CHAIN), 4).count() == 2
+    rows[6] = (*rows[6][:4], '{"other":1}', *rows[6][5:])
+    log, found = str(tmp_path / "log"), []
+
+    def step(batch):
+        spark.createDataFrame(batch, CHAIN).coalesce(1).write.mode("append").parquet(log)
+        q = tail.follow(tail.read_chain(spark, log)).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        q.foreachBatch(lambda df, _: found.extend(tuple(r)[1:] for r in df.collect())).start().awaitTermination()
+
+    step(rows[:5])
+    assert found == [(5, "gap")]
+    step(rows[5:])
+    step(rows[2:3])
+    assert sorted(found[1:]) == [(3, "late"), (8, "altered")]
+    assert chain.tail(spark.createDataFrame(rows, CHAIN), 4).count() == 5
 
 
 def test_appends_follow_the_head_and_refuse_violations(spark, tmp_path):
     import pytest
 
-    from provenir.operators import commits
+    from provenir.operators import campaign, commits
 
     log = str(tmp_path / "chain")
     batch = lambda *ids: commits.transition_events(spark.createDataFrame([(i, "t") for i in ids], "record_id string, `at` string"), "record.sealed")
-    first = commits.append(spark, log, batch("a", "b"))
+    with pytest.raises(FileNotFoundError):
+        commits.append(spark, log, batch("a"))
+    first = commits.append(spark, log, batch("a", "b"), create=True)
     second = commits.append(spark, log, batch("c"), spark.range(0))
     assert (first[0], second[0]) == (2, 3)
     with pytest.raises(commits.Refused):
@@ -57,6 +94,36 @@ def test_appends_follow_the_head_and_refuse_violations(spark, tmp_path):
     rows = spark.read.parquet(log)
     assert rows.count() == 3 and chain.verify_chain(rows.selectExpr("'c' as chain", "*")).count() == 0
 
+    signed = spark.createDataFrame([(1, "report", '{"report":"d","by":"me"}', "t")], "ord long, subject string, body string, `at` string")
+    records = spark.createDataFrame([("a", "sealed", "h")], "record_id string, state string, artifact_hash string")
+    stale = campaign.stale_signoffs(spark.createDataFrame([("s", "a", "h")], "signoff_id string, record_id string, artifact_hash string"), records)
+    assert commits.sign_off(spark, log, second, signed, stale)[0] == 4
+    assert [(r.seq, r.report, r.by) for r in commits.signoffs(spark.read.parquet(log)).collect()] == [(4, "d", "me")]
+    for head, bad in (((3, "x"), stale), ((9, "x"), stale), (second, stale.sparkSession.range(1).selectExpr("'gone' as problem"))):
+        with pytest.raises(commits.Refused):
+            commits.sign_off(spark, log, head, signed, bad)
+
+
+def test_a_record_is_stated_and_targets_are_fed_in_batches(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from provenir.operators import commits
+
+    record = spark.createDataFrame([("run", "a" * 64, "b" * 64, "file", "mineru", "1", "oci", '{"cpus": 2.0}', "sealed", '{"z":1, "a":2}')], "run_id string, artifact_hash string, source_hash string, source_kind string, parser_name string, parser_version string, backend string, run_conditions string, state string, parser_config string")
+    body = json.loads(commits.record_body(record, with_state=True).first().body)
+    assert body["parser"] == {"name": "mineru", "version": "1"} and body["state"] == "sealed" and body["parser_config"] == {"a": 2, "z": 1}
+
+    out = str(tmp_path)
+
+    def write(rows):
+        with open(f"{out}/{rows[0].dispatch_id}", "w") as f:
+            f.write(str(len(rows)))
+
+    commits.foreach_target(spark.range(25).select(F.col("id").alias("dispatch_id")).coalesce(1), write, size=10)
+    assert sorted(int((tmp_path / f).read_text()) for f in ("0", "10", "20")) == [5, 10, 10]
+
 
 def test_strict_records(spark):
     from pyspark.sql import functions as F
@@ -71,14 +138,26 @@ def test_strict_records(spark):
 
 
 def test_report_and_rebuild(spark):
+    import json
+
+    import pytest
+
     from provenir.operators import campaign
 
-    gates = spark.createDataFrame([("coverage", True, 0.0)], "gate string, passed boolean, value double")
+    gates = spark.createDataFrame([("coverage", True, 0.0), ("no_errors", False, 2.0)], "gate string, passed boolean, value double")
     statuses = spark.createDataFrame([("b", "sealed", 2)], "lane string, status string, n long")
     outcomes = spark.createDataFrame([("p", "c", "identical"), ("q", "c", "diverged")], "path string, lane string, outcome string")
-    one = campaign.report(gates, statuses, outcomes)
-    assert campaign.rebuild_problems(one, campaign.report(gates, statuses, outcomes)) == []
-    assert campaign.rebuild_problems(one, campaign.report(gates, statuses, outcomes.limit(1))) == ["outcomes"]
+    one = campaign.report(gates, statuses, outcomes, corpus="d" * 64, documents=2, lanes=["b", "c"], ledger_head=[3, "h"], generated_at="t")
+    assert campaign.rebuild_problems(one, campaign.report(gates, statuses, outcomes, corpus="d" * 64, documents=2, lanes=["b", "c"])) == []
+    assert campaign.rebuild_problems(one, campaign.report(gates, statuses, outcomes.limit(1), corpus="d" * 64, documents=3, lanes=["b", "c"])) == ["documents", "outcomes"]
+    assert campaign.parse_report(one)["documents"] == 2 and campaign.failed_gates(one) == ["no_errors"]
+    body = json.loads(one)
+    form = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    for bad in (one + " ", form(body | {"passed": True}), form(body | {"schema_version": 2}), form(body | {"more": 1}), form({k: v for k, v in body.items() if k != "lanes"}), "[]"):
+        with pytest.raises(ValueError):
+            campaign.parse_report(bad)
+    with pytest.raises(ValueError):
+        campaign.report(gates, statuses, outcomes, author="x")
 
 
 def test_split_index(spark):
