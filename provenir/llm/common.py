@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provenir.session import ship
+from provenir.session import shared_dir, ship
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,19 +27,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, local sessions (tests) get one below the
-    warehouse, and any other is an error: a folder of one machine would lose what another wrote."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -56,9 +43,19 @@ def carried(docs: DataFrame, made: Iterable[str]) -> list[Column]:
     return [quoted(f"in_{c}").alias(c) for c in docs.columns if c.lower() not in own]
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared one, for what lives as long as the session: it is removed when that ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read again: a cut in lineage that any executor can read."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession, 'tables')}/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

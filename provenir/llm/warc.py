@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import dealt_join, prepare, shared_dir
+from provenir.llm.common import dealt_join, prepare, scratch
 
 #: A task starts a new archive after so many bytes of records; level of compression.
 ARCHIVE_BYTES, LEVEL = 64 << 20, 4
@@ -249,7 +249,7 @@ def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages written to monolithic archives, these normalised, and the records read back by their index."""
     spark = prepare(pages.sparkSession)
-    folder = f"{shared_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     raw = write_monolithic(with_references(pages, least_bytes), f"{folder}/raw").checkpoint()
     spread = lambda df: df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "archive")
     made = normalise(spread(raw), f"{folder}/raw").checkpoint()

@@ -57,3 +57,26 @@ def test_ids_are_held_against_the_text(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.queries, "encoder", lambda spark: real)
     with pytest.raises(Exception, match="do not decode"):
         corpus_pipeline.encode(spark, docs, SF).collect()
+
+
+def test_nulls_ties_repeats_and_clashing_names(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and a column that operators use themselves."""
+    passage = " ".join(f"shared{i}" for i in range(60))
+    rows = [(1, f"{passage} one", "en", "s", 5), (2, f"{passage}\nand more of its own here", None, "s", None), (3, passage, "en", None, 5), (4, None, None, None, None), (5, "", "en", "s", 0), (6, " \n ", "en", "t", 3), (None, "no id at all " * 3, "en", "t", 1)]
+    rows += [(7, "word " * 30_000, "en", "long", 1), (8, "same row", "en", "t", 8), (8, "same row", "en", "t", 8), (9, "same row", "en", "u", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'own' as Kept", "1 as p")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in got]
+    assert {1, 2, 7} <= set(ids) and 3 not in ids and 9 not in ids and all(ids.count(i) <= 3 for i in set(ids))
+    assert len({4, 5, 6} & set(ids)) <= 1 and {r.n_tokens for r in got if r.doc_id in (4, 5)} <= {0}
+    assert all(r.decoded_sha256 for r in got)
+    later = [r for r in got if r.doc_id == 2]
+    assert all(r.n_tokens < 60 for r in later)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
