@@ -4,6 +4,12 @@ Every stage takes what the one before it kept and wrote, and its decisions take
 occurrences of passages go, and so does a document of which nothing remains; one document of each component of near
 duplicates stays; a document appears as often as the mix takes it; what remains is encoded, and its
 ids are decoded and held against the text.
+
+Defined results: columns beyond those of documents are dropped. A null text passes every stage and encodes as the empty one;
+a null source is a source of its own; rows without doc_id come after all others where the first of several stays. Of
+repeated rows one stays (near duplicates). A text that loses lines and has no word left goes, one that came without a word
+stays, as one of all its like, and is taken into the mix as often as others of its source and weight. Rows that tie in
+doc_id and text share every decision. Empty tables give empty results, whatever the stage.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.llm import bpe, linededup, mixing, queries, simhash, toxicity
-from provenir.llm.common import prepare, written
+from provenir.llm.common import WORD, prepare, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = linededup.line_dedup(docs).where((F.col("removed_lines") == 0) | (F.col("text") != ""))
+    left = linededup.line_dedup(docs).where((F.col("removed_lines") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
