@@ -12,7 +12,8 @@ Radius 3 finds what is all but equal. near_dedup finds every similarity (Jaccard
 besides: BANDS hashes of ROWS MinHashes each bring texts of that similarity together with a probability of
 1 - (1 - 0.8**6)**20 = 0.998 or more (SimHashes of such texts are some 10 of 64 bits apart, a ball of thousands of rows a
 text even for shorter fingerprints), and each pair is verified by its shingles. Of those that share a band each is first
-held against one hub; then, where a band has texts of several components, all pairs across these.
+held against one hub; then, where a band has texts of several components, those of different components that share one of
+their rarest shingles, as any two of that similarity do.
 
 Defined results: null and empty texts have fingerprint 0 and are linked to each other and to what is near 0; fewer
 words than a shingle count as one; repeated rows are linked; a component without any doc_id has a null id.
@@ -191,14 +192,9 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class_id").alias("component_id"))
 
 
-def _similar(pairs: DataFrame, at: DataFrame, texts: DataFrame, words: int, fifths: int) -> DataFrame:
-    """Those of the pairs (a, b) of shingle sets whose Jaccard similarity is so many fifths or more.
-
-    at: (shingled, id, key), the row of texts (id, key, text) that has each set. A set with many partners is dealt to many tasks."""
-    # Written first, so that its size is known when the texts, which are far larger, are planned.
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("shingled")).distinct().join(at, "shingled"))
-    own = texts.join(wanted, ["id", "key"]).dropDuplicates(["shingled"])
-    sets = written(own.select("shingled", _shingle_set(F.col("text"), words).alias("s")))
+def _similar(pairs: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
+    """Those of the pairs (a, b) of shingle sets (shingled, s) whose Jaccard similarity is so many fifths or more. A set with
+    many partners is dealt to many tasks."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(64)))
     left = salted.join(sets.select(F.col("shingled").alias("a"), F.col("s").alias("s_a")), "a")
     right = salted.select("b", "salt").distinct().join(sets.select(F.col("shingled").alias("b"), F.col("s").alias("s_b")), "b")
@@ -206,23 +202,44 @@ def _similar(pairs: DataFrame, at: DataFrame, texts: DataFrame, words: int, fift
     return left.join(right, ["b", "salt"]).where(5 * both >= fifths * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
 
 
+def _across(members: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components (members: shingled, root) that may have that similarity, none left out.
+
+    Two such sets share a shingle among each one's rarest: of n shingles, in order of the number of members that hold them,
+    the first n * (5 - fifths) // 5 + 1 (whatever partner has so many in common with a set, they can't all come after
+    these). Only sets that meet there, and whose sizes are near enough, make a pair: members that have much in common that is
+    common to very many, as pages of one template have, make none."""
+    held = written(sets.join(members, "shingled").select("shingled", "root", F.size("s").alias("size"), F.explode("s").alias("t")))
+    known = written(held.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").withColumn("holders", F.col("n")))
+    ranked = dealt_join(held, known, ["t"], F.col("shingled")).groupBy("shingled", "root", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "t"))).alias("r"))
+    rarest = F.slice("r", F.lit(1), F.floor(F.col("size") * (5 - fifths) / 5).cast("int") + 1)
+    meet = written(ranked.select("shingled", "root", "size", F.explode(F.filter(rarest, lambda x: x["holders"] > 1)).alias("r")).select("shingled", "root", "size", F.col("r.t").alias("t")))
+    left, right = (meet.select("t", F.col("shingled").alias(k), F.col("root").alias(f"root_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    sized = 5 * F.least("size_a", "size_b") >= fifths * F.greatest("size_a", "size_b")
+    return left.join(right, "t").where(sized & (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b").distinct()
+
+
 def similar_sets(sketches: DataFrame, texts: DataFrame, words: int, fifths: int = 4) -> DataFrame:
-    """Links (a, b) that connect the shingle sets of sketches (shingled, bands, id, key) of 0.8 similarity or more."""
-    # Equal sets are one, so a text of many copies is one holder of its bands.
-    sets = written(sketches.groupBy("shingled").agg(F.min(F.struct("id", "key")).alias("at"), F.first("bands").alias("bands")))
-    at = sets.select("shingled", "at.id", "at.key")
-    rows = sets.select(F.explode("bands").alias("band"), "shingled")
-    ends = written(rows.groupBy("band").agg(F.min("shingled").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    shared = written(dealt_join(rows, ends, ["band"], F.col("shingled"), "inner"))
+    """Links (a, b) that connect the shingle sets of sketches (shingled, bands, id, key) of 0.8 similarity or more; texts: id,
+    key, text."""
+    rows = sketches.select("id", "shingled", F.explode("bands").alias("band"))
+    # Summed before they are dealt out, a band of a third of all documents is a few rows; its holders are dealt to many tasks.
+    ends = written(rows.groupBy("band").agg(F.min("shingled").alias("hub"), F.max("shingled").alias("last"), F.count("*").alias("n")).where("hub < last").select("band", "hub", "n"))
+    shared = written(dealt_join(rows, ends, ["band"], F.col("id"), "inner").select("band", "shingled", "hub").distinct())
+    # One row of texts for each set that shares a band. Written first, so that its size is known when the texts, which are far
+    # larger, are planned.
+    at = sketches.groupBy("shingled").agg(F.min(F.struct("id", "key")).alias("at")).join(shared.select("shingled").distinct(), "shingled")
+    wanted = written(at.select("shingled", "at.id", "at.key"))
+    sets = written(texts.join(wanted, ["id", "key"]).dropDuplicates(["shingled"]).select("shingled", _shingle_set(F.col("text"), words).alias("s")))
     stars = written(shared.where("shingled <> hub").select(F.col("shingled").alias("a"), F.col("hub").alias("b")).distinct())
-    links = written(_similar(stars, at, texts, words, fifths))
+    links = written(_similar(stars, sets, fifths))
     found = connected(links).withColumnRenamed("node", "shingled")
-    placed = shared.join(found, "shingled", "left").select("band", "shingled", F.coalesce("root", "shingled").alias("root"))
-    several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("band")
-    open_ = placed.join(several, "band", "left_semi")
-    left, right = (open_.select("band", F.col("shingled").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-    across = left.join(right, "band").where("a > b and root_a <> root_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return links.unionByName(written(_similar(written(across), at, texts, words, fifths)))
+    placed = written(shared.select("band", "shingled").join(found, "shingled", "left").select("band", "shingled", F.coalesce("root", "shingled").alias("root")))
+    several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("band", "n")
+    several = written(several)
+    open_ = written(dealt_join(placed, several, ["band"], F.col("shingled"), "inner").select("shingled", "root").distinct())
+    across = _across(open_, sets, fifths).join(stars, ["a", "b"], "left_anti")
+    return links.unionByName(written(_similar(written(across), sets, fifths)))
 
 
 def simhash_dedup(docs: DataFrame, words: int = 5) -> DataFrame:

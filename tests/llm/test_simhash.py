@@ -140,3 +140,28 @@ def test_near_dedup_of_nasty(nasty, empty):
     got = simhash.near_dedup(nasty)
     assert got.columns == nasty.columns and {1, 7, 8} <= {r.doc_id for r in got.collect()}
     assert not any((r.text or "").startswith("no id") for r in got.collect()) and simhash.near_dedup(empty).count() == 0
+
+
+def test_across_leaves_out_no_pair(spark):
+    """Random sets: every pair of different components that is similar enough is among the pairs, by brute force."""
+    rng = random.Random(12)
+    sets = {}
+    for i in range(60):
+        base = set(rng.sample(range(300), rng.randrange(1, 60)))
+        for k in range(3):
+            drop = {x for x in base if rng.random() < 0.1}
+            sets[3 * i + k] = sorted((base - drop) | set(rng.sample(range(300), rng.randrange(0, 4))) or {0})
+    roots = {i: i if rng.random() < 0.8 else i - i % 3 for i in sets}
+    table = spark.createDataFrame(list(sets.items()), "shingled long, s array<bigint>")
+    members = spark.createDataFrame(list(roots.items()), "shingled long, root long")
+    got = {(r.a, r.b) for r in simhash._across(members, table, 4).collect()}
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(a, b) for a in sets for b in sets if a > b and roots[a] != roots[b] and jaccard(sets[a], sets[b]) >= 0.8}
+    assert len(want) > 30 and want <= got and all(roots[a] != roots[b] and a > b for a, b in got)
+
+
+def test_a_template_makes_no_pairs(spark):
+    """Sets that share half of their shingles with all others, and none of the rest with any."""
+    rows = [(i, list(range(50)) + list(range(1000 * (i + 1), 1000 * (i + 1) + 50))) for i in range(300)]
+    table = spark.createDataFrame(rows, "shingled long, s array<bigint>")
+    assert simhash._across(table.selectExpr("shingled", "shingled as root"), table, 4).count() == 0
