@@ -536,10 +536,10 @@ def export_split(spark, d):
 
 # Markdown units and anchors.
 
-_MD = """array_join(transform(split(text, '\n'), (l, i) -> case i % 5 when 0 then concat(repeat('#', 1 + i % 6), ' ', l) when 1 then concat('- ', l) when 2 then concat('```\n', l, '\n\n```') else l end), '\n\n')"""
+_MD = """array_join(transform(split(text, '\n'), (l, i) -> case i % 5 when 0 then concat(repeat('#', 1 + i % 6), ' ', l) when 1 then concat('- ', l) when 2 then concat('```\n', l, '\n\n```') else case i % 15 when 3 then concat(l, '\n=====') when 8 then concat('| ', l, ' |') when 13 then concat('$$ ', l, ' $$') when 9 then concat('![', l, '](f.png)') else l end end), '\n\n')"""
 _MD_UNITS = """with l as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(0, len(string_split(text, chr(10))))) as i from documents),
-b as (select doc_id, i, case i % 5 when 0 then repeat('#', (1 + i % 6)::int) || ' ' || x when 1 then '- ' || x when 2 then '```' || chr(10) || x || chr(10) || chr(10) || '```' else x end as text,
-  case i % 5 when 0 then 'heading' when 1 then 'list' when 2 then 'code' else 'paragraph' end as kind, case when i % 5 = 0 then (1 + i % 6)::int end as level from l),
+b as (select doc_id, i, case i % 5 when 0 then repeat('#', (1 + i % 6)::int) || ' ' || x when 1 then '- ' || x when 2 then '```' || chr(10) || x || chr(10) || chr(10) || '```' else (case i % 15 when 3 then x || chr(10) || '=====' when 8 then '| ' || x || ' |' when 13 then '$$ ' || x || ' $$' when 9 then '![' || x || '](f.png)' else x end) end as text,
+  case i % 5 when 0 then 'heading' when 1 then 'list' when 2 then 'code' else (case i % 15 when 3 then 'heading' when 8 then 'table' when 13 then 'formula' when 9 then 'figure' else 'paragraph' end) end as kind, case when i % 5 = 0 then (1 + i % 6)::int when i % 15 = 3 then 1 end as level from l),
 o as (select *, sum(octet_length(encode(text)) + 2) over (partition by doc_id order by i rows unbounded preceding) - 2 as e from b),
 u as (select doc_id, i, kind, level, text, (e - octet_length(encode(text)))::bigint as s, e::bigint as e, 'u' || printf('%06d', i + 1) as unit_id from o)"""
 
