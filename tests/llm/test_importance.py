@@ -47,3 +47,26 @@ def test_the_target_is_bounded_and_no_text_is_shuffled(spark):
     assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
     narrow = importance.importance_resample(docs, few, 0.5, carry=["doc_id", "Kept"])
     assert narrow.columns == ["doc_id", "log_weight", "gumbel_key", "kept"] and narrow.where("kept").count() == 250
+
+
+def test_weights_against_plain_models(spark):
+    """Models and weights from tokens, hashes and sums written out in plain integers and floats."""
+    import re
+    from collections import Counter
+
+    import xxhash
+
+    texts = ["Good fine words, good ones!", "good fine", "junk $$$ ### Junk", "", None, "é漢 words_x 12 good", "fine " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    target = docs.where("doc_id in (0, 1, 5)")
+
+    def grams(text):
+        tokens = re.findall(r"[^\W]+|[^\w\s]", (text or "").lower())
+        hashes = [xxhash.xxh64(t.encode("utf-8")).intdigest() for t in tokens]
+        pairs = [((a * 0x9E3779B185EBCA87 + b) * 0x9E3779B185EBCA87) % (1 << 64) for a, b in zip(hashes, hashes[1:])]
+        return [(h >> 32) % 128 for h in hashes + pairs]
+
+    raw, good = (Counter(g for t in some for g in grams(t)) for some in (texts * 3, [texts[0], texts[1], texts[5]]))
+    ratio = lambda g: math.log((good[g] + 1) / (sum(good.values()) + 128)) - math.log((raw[g] + 1) / (sum(raw.values()) + 128))
+    for r in importance.importance_resample(docs, target, 0.5, buckets=128).collect():
+        assert math.isclose(r.log_weight, sum(map(ratio, grams(r.text))), abs_tol=1e-9)

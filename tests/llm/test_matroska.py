@@ -62,3 +62,22 @@ def test_nasty(nasty, empty):
     broken = stored.select("doc_id", F.lit(b"nonsense").alias("media"))
     assert m.packets(broken).where("track is null").count() == nasty.count()
     assert empty.select(m.features(m.media(F.col("text")))).count() == 0
+
+
+def test_features_against_plain_sums(spark):
+    """Numbers of packets, blocks and clusters from sizes alone, and sums over the bytes one by one."""
+    from pyspark.sql import functions as F
+
+    texts = ["", "a", "é漢😀" * 20, "x" * 1024, "y" * 8192, "Zz \x7f" * 9000, "ÿ" * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.f for r in docs.select("i", m.features(m.media(F.col("text"))).alias("f")).collect()}
+    up = lambda a, b: -(-a // b)
+    for i, text in enumerate(texts):
+        data = text.encode()
+        data += bytes(64 if not data else -len(data) % 64)
+        n = up(len(data), 1024)
+        blocks, clusters = up(len(data), 8192), up(len(data), 32768)
+        last = (n - 1) * 128_000_000
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(data, data[1:]))
+        want = f"packets={n};blocks={blocks};clusters={clusters};cues={clusters};last_ns={last};sum={sum(data)};squares={sum(b * b for b in data)};crossings={crossings}"
+        assert got[i].feature == want and got[i].payload_bytes == len(data)
