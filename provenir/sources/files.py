@@ -12,7 +12,7 @@ from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.session import stored
@@ -115,11 +115,39 @@ def export_blob(blobs: DataFrame, digest: str, path: str) -> int:
     return len(content)
 
 
+def _ends_with_newline(spark: SparkSession, uri: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = system.getFileStatus(path).getLen()
+    if not size:
+        return True
+    source = system.open(path)
+    try:
+        source.seek(size - 1)
+        return source.read() == 10
+    finally:
+        source.close()
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of a text file, lines numbered from 0 by their place. The file is read in splits; their lines are counted
+    first, one number a split, and a line's number is those before its split plus its place in it."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    counted = lines.groupBy("start").agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("start").collect()
+    before, offsets = 0, []
+    for r in counted:
+        offsets.append((r["start"], before - r["first"]))
+        before += r["n"]
+    shift = F.broadcast(spark.createDataFrame(offsets, "start long, shift long"))
+    return lines.join(shift, "start").select((F.col("at") + F.col("shift")).alias("line"), "value")
+
+
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(header, observations) of a journal: a header line, then a JSON object a line. A last line without an end is torn and
-    left out; line numbers are places in the file. A journal is one file, read whole."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("line", "value"))
-    ended = lines.withColumn("last", F.max("line").over(Window.partitionBy())).where("line < last").drop("last")
+    left out; line numbers are places in the file."""
+    ended = numbered_lines(spark, path)
+    if not _ends_with_newline(spark, path):
+        ended = ended.where(F.col("line") < F.lit(ended.agg(F.max("line")).first()[0]))
     schema = "path string, lane string, status string, backend string, run_id string, record_id string, artifact_hash string, input_sha256 string, failure struct<reason:string,detail:string>, telemetry struct<wall_time_seconds:double,cpu_time_seconds:double,peak_memory_bytes:bigint>, detail string, `at` string"
     rows = ended.where("line > 0").select("line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("o")).select("line", "o.*")
     return ended.where("line = 0").select("value"), rows

@@ -51,6 +51,20 @@ def test_journal_without_its_torn_line(spark, tmp_path):
     assert [(r.line, r.path, r.telemetry.wall_time_seconds) for r in rows.collect()] == [(1, "p", 1.5)]
 
 
+def test_journal_lines_are_numbered_across_splits(spark, tmp_path):
+    path, old = tmp_path / "journal", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path.write_text('{"campaign":1}\n' + "".join(f'{{"path":"p{i}","detail":"{"x" * (i % 90)}"}}\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        head, rows = files.read_journal(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 5 and head.count() == 1
+        assert sorted((r.line, r.path) for r in rows.collect()) == [(i + 1, f"p{i}") for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    path.write_text("")
+    assert files.read_journal(spark, str(path))[1].count() == 0
+
+
 def test_blobs_are_stored_once(spark, tmp_path):
     table = str(tmp_path / "blobs")
     for texts in (["a", "a", "b"], ["b", "c"]):
