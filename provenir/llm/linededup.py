@@ -38,15 +38,34 @@ from provenir.llm.common import carried, prefixed, prepare
 
 NEAR, FEW = 3, 2
 MOST = 2 * NEAR + 1
-#: Windows that are reduced at a time: some 50 MB.
-CHUNK = 1 << 20
+#: Windows that are reduced at a time, some 50 MB; bytes of texts that are read together.
+CHUNK, TOGETHER = 1 << 20, 1 << 19
 _SPLIT = re.compile(r"([\x20\x09-\x0D]+)").split
 _NONE = np.int64(1 << 62)
+#: Bytes of a text that are hashed at a time, about.
+BLOCK = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]").search
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.random.default_rng(10).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD6E8FEB86659FD93
+_kept: dict[int, np.ndarray] = {}
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: A word's weight in its line's hash, by place: odd numbers.
 _PLACE = np.array([pow(0x2545F4914F6CDD1D, 2 * k + 1, 1 << 64) for k in range(MOST)], np.uint64)
 
 
+def _powers(n: int, sign: int) -> np.ndarray:
+    """The first n powers of the base, or of its inverse, modulo 2**64."""
+    have = _kept.get(sign)
+    if have is None or len(have) < n:
+        size = max(n, 1 << 16)
+        factor = pow(_BASE, sign, 1 << 64)
+        have = np.full(size, factor, np.uint64)
+        have[0] = 1
+        _kept[sign] = have = np.multiply.accumulate(have)
+    return have[:n]
+
+
 def least(rank: np.ndarray, reach: int) -> np.ndarray:
     """Where a rank is less than all up to so many places before it and no greater than those after it."""
     n = len(rank)
@@ -75,28 +94,53 @@ def ends_of(rank: np.ndarray) -> np.ndarray:
     return ends | more | ~(taken | near(more, FEW))
 
 
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of newlines before it). A word's hash is a sum over its bytes, each with a weight of its
+    own by value and by place: differences of running sums, so that a text is hashed without a step for each word."""
+    values = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_IS_SPACE[values], prepend=True, append=True))
+    starts, stops = edges[::2], edges[1::2]
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(_BYTE[values] * _powers(len(values), 1), out=sums[1:])
+    h = (sums[stops] - sums[starts]) * _powers(len(values), -1)[starts]
+    h = (h ^ (h >> np.uint64(32))) * _MIX[2]
+    return h ^ (h >> np.uint64(29)), np.searchsorted(np.flatnonzero(values == 10), starts)
+
+
+def pieces_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, index after each line's last word, number of newlines before each line) of lower-case bytes."""
+    found, at, before = [], 0, 0
+    while at < len(data):  # a block at a time, up to the next white space
+        space = _SPACE(data, at + BLOCK)
+        end = space.start() if space else len(data)
+        hashes, line = words_of(data[at:end])
+        found.append((hashes, line + before))
+        before += data.count(b"\n", at, end)
+        at = end
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    hashes, line = found[0] if len(found) == 1 else (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    if not len(hashes):
+        return hashes, np.empty(0, np.int64), line
+    cuts = np.append(np.flatnonzero(line[1:] != line[:-1]) + 1, len(hashes))
+    size = np.diff(cuts, prepend=0)
+    long = size > MOST
+    if long.any():
+        # Long lines are laid out NEAR places apart, so that no word of one is near a word of another.
+        inside = np.flatnonzero(np.repeat(long, size))
+        at = np.arange(len(inside)) + NEAR * np.repeat(np.arange(int(long.sum())), size[long])
+        rank = np.full(int(at[-1]) + NEAR, _NONE)
+        rank[at] = (hashes[inside] >> np.uint64(2)).view(np.int64)
+        ends = np.zeros(len(hashes), bool)
+        ends[inside] = ends_of(rank)[at]
+        ends[cuts - 1] = True
+        cuts = np.flatnonzero(ends) + 1
+    return hashes, cuts, line[cuts - 1]
+
+
 def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, ASCII letters as lower case; index after each line's last word)."""
-    tokens: list[bytes] = []
-    sizes: list[int] = []
-    for line in text.encode().lower().split(b"\n"):
-        words = line.split()
-        if words:
-            tokens += words
-            sizes.append(len(words))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
-    size = np.array(sizes, np.int64)
-    stops = np.cumsum(size)
-    if not (size > MOST).any():
-        return hashes, stops
-    # Lines are laid out NEAR places apart, so that no word of one is near a word of another.
-    line = np.repeat(np.arange(len(size)), size)
-    at = np.arange(len(hashes)) + NEAR * line
-    rank = np.full(int(at[-1]) + NEAR, _NONE)
-    rank[at] = (hashes >> np.uint64(2)).view(np.int64)
-    ends = ends_of(rank)[at] & (size > MOST)[line]
-    ends[stops - 1] = True
-    return hashes, np.flatnonzero(ends) + 1
+    return pieces_of(text.encode().lower())[:2]
 
 
 def windows_of(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -112,10 +156,8 @@ def windows_of(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return (w ^ (w >> np.uint64(32))).view(np.int64)
 
 
-def without(text: str, later: np.ndarray) -> tuple[str, int, int]:
-    """(text without later occurrences, lines removed, words removed)."""
-    hashes, cuts = lines_of(text)
-    windows = windows_of(hashes, cuts)
+def without(text: str, windows: np.ndarray, cuts: np.ndarray, later: np.ndarray) -> tuple[str, int, int]:
+    """(text without later occurrences, lines removed, words removed) of a text of these windows and line ends."""
     hit = np.ones(len(windows), bool)
     hit[np.unique(windows, return_index=True)[1]] = False
     hit |= np.isin(windows, later)
@@ -125,7 +167,7 @@ def without(text: str, later: np.ndarray) -> tuple[str, int, int]:
     if not covered.any():
         return text, 0, 0
     if covered.all():
-        return "", len(cuts), len(hashes)
+        return "", len(cuts), int(cuts[-1])
     gone = set(np.flatnonzero(covered).tolist())
     parts = _SPLIT(text)  # words and the white space between them, alternating
     out, removed, a, at, first = [], 0, 0, 0, 0 if parts[0] else 2
@@ -144,19 +186,44 @@ def without(text: str, later: np.ndarray) -> tuple[str, int, int]:
 _LEFT = "struct<text:string,removed_lines:bigint,removed_words:bigint>"
 
 
-def _reduced(windows: list[np.ndarray], p: np.ndarray, q: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-    """A chunk's rows (w, p, q, known) of documents at (p, q): the first holder of each window; those that are known to be
-    later; and a row without window for each document that repeats one."""
-    order = np.lexsort((q, p))
-    w = np.concatenate([np.empty(0, np.int64), *(windows[i] for i in order)])
-    holder = np.repeat(order, [len(windows[i]) for i in order])
-    by = np.argsort(w, kind="stable")
+def together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, index after each line's last word, number of the text that holds each line) of lower-case texts, which are read
+    as one; windows also where their lines are of two texts."""
+    hashes, cuts, line = pieces_of(b"\n".join(texts))
+    own = np.searchsorted(np.cumsum([t.count(b"\n") + 1 for t in texts]), line, side="right")
+    return windows_of(hashes, cuts), cuts, own
+
+
+def windows_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, number of the text that holds each) of lower-case texts."""
+    w, _, own = together(texts)
+    inside = own[:-2] == own[2:] if len(own) > 2 else np.empty(0, bool)
+    return w[inside], own[: len(w)][inside]
+
+
+def readings(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, index after each line's last word) of each of lower-case texts."""
+    w, cuts, own = together(texts)
+    bounds = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        yield w[a : max(a, b - 2)], cuts[a:b] - (cuts[a - 1] if a else 0)
+
+
+def _reduced(w: np.ndarray, holder: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    """A chunk's rows (w, p, q, known) of windows and their documents, which stand at (p, q): the first holder of each window;
+    those that are known to be later; and a row without window for each document that repeats one."""
+    rank = np.empty(len(p), np.int64)
+    rank[np.lexsort((q, p))] = np.arange(len(p))
+    by = np.argsort(rank[holder], kind="stable")
+    by = by[np.argsort(w[by], kind="stable")]
     w, holder = w[by], holder[by]
     new = np.ones(len(w), bool)
     new[1:] = w[1:] != w[:-1]
+    repeated = np.zeros(len(w), bool)
+    repeated[1:] = ~new[1:] & (holder[1:] == holder[:-1])
     first = holder[np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))]
-    stays = new | (p[holder] != p[first]) | (q[holder] != q[first])
-    again = np.flatnonzero(twice)
+    stays = new | (~repeated & ((p[holder] != p[first]) | (q[holder] != q[first])))
+    again = np.unique(holder[repeated])
     at = np.concatenate([holder[stays], again])
     seen = pa.array(np.concatenate([w[stays], np.zeros(len(again), np.int64)]), pa.int64(), mask=np.arange(len(at)) >= len(at) - len(again))
     known = np.concatenate([~new[stays], np.ones(len(again), bool)])
@@ -166,39 +233,66 @@ def _reduced(windows: list[np.ndarray], p: np.ndarray, q: np.ndarray, twice: np.
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (w, p, q, known) of rows (p, q, text), reduced a chunk at a time."""
-    windows, ps, qs, twice, size = [], [], [], [], 0
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    ps: list[int] = []
+    qs: list[int] = []
+    texts: list[bytes] = []
+    bytes_, size = 0, 0
+
+    def read() -> int:
+        nonlocal bytes_
+        w, own = windows_in(texts)
+        parts.append((w, own + len(ps) - len(texts)))
+        texts.clear()
+        bytes_ = 0
+        return len(w)
 
     def flush() -> pa.RecordBatch:
-        out = _reduced(windows, np.array(ps, np.int64), np.array(qs, np.int64), np.array(twice, bool))
-        for x in (windows, ps, qs, twice):
+        w, own = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+        out = _reduced(w, own, np.array(ps, np.int64), np.array(qs, np.int64))
+        for x in (parts, ps, qs):
             x.clear()
         return out
 
     for batch in batches:
         for p, q, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            found = windows_of(*lines_of(text.as_py() or ""))
-            own = np.unique(found)
-            windows.append(own)
-            twice.append(len(own) < len(found))
             ps.append(p)
             qs.append(q)
-            size += len(own)
-            if size >= CHUNK:
-                yield flush()
-                size = 0
-    if windows:
+            texts.append((text.as_py() or "").encode().lower())
+            bytes_ += len(texts[-1])
+            if bytes_ >= TOGETHER:
+                size += read()
+                if size >= CHUNK:
+                    yield flush()
+                    size = 0
+    if texts:
+        read()
+    if parts:
         yield flush()
 
 
 def _rebuilt(text: Column, later: Column) -> Column:
     """What is left of a text; null for a null one."""
 
+    kind = pa.struct([("text", pa.string()), ("removed_lines", pa.int64()), ("removed_words", pa.int64())])
+
+    def rebuilt(texts: pa.Array, lists: pa.Array) -> Iterator[dict | None]:
+        held: list[tuple[str, np.ndarray] | None] = []
+        size = 0
+        for i, (x, y) in enumerate(zip(texts, lists)):
+            t = x.as_py()
+            held.append(None if t is None else (t, np.array(y.as_py() or (), np.int64)))
+            size += len(t or "")
+            if size >= TOGETHER or i == len(texts) - 1:
+                read = readings([h[0].encode().lower() for h in held if h])
+                for h in held:
+                    yield dict(zip(kind.names, without(h[0], *next(read), h[1]))) if h else None
+                held, size = [], 0
+
     @F.arrow_udf(_LEFT)
     def without_later(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.struct([("text", pa.string()), ("removed_lines", pa.int64()), ("removed_words", pa.int64())])
         for texts, lists in batches:
-            rows = [None if (t := x.as_py()) is None else dict(zip(kind.names, without(t, np.array(y.as_py() or (), np.int64)))) for x, y in zip(texts, lists)]
-            yield pa.array(rows, kind)
+            yield pa.array(list(rebuilt(texts, lists)), kind)
 
     return without_later(text, later)
 

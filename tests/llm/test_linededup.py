@@ -147,11 +147,7 @@ def test_windows_of_real_lines_against_brute_force(spark):
                 gone |= {k, k + 1, k + 2}
             own.add(w)
         want[i] = [w for k, x in enumerate(split(t)) if k not in gone for w in x]
-    old, ld.CHUNK = ld.CHUNK, 40
-    try:
-        got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
-    finally:
-        ld.CHUNK = old
+    got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
     assert {r.doc_id: r.text.split() for r in got} == want
     assert all(len(r.text.split()) + r.removed_words == len(dict(rows)[r.doc_id].split()) for r in got)
 
@@ -168,6 +164,33 @@ def test_chunks_reduce_a_window_to_its_first_holder():
     assert [(p, known) for x, p, q, known in rows if x is None] == [(9, True)] and not np.any([q for _, _, q, _ in rows])
 
 
+def test_small_chunks_and_blocks_say_the_same(monkeypatch):
+    """What is known of each window's holders, whatever the sizes: windows by a plain loop over single texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    texts = ["\n".join(" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 25))) for _ in range(rng.randrange(0, 8))) for _ in range(60)] + ["", "x" * 300, "\n\n"]
+    batch = pa.record_batch({"p": [i // 2 for i in range(63)], "q": [0] * 63, "text": texts})
+    want = {}
+    for i, t in enumerate(texts):
+        for w in ld.windows_of(*ld.lines_of(t)).tolist():
+            want.setdefault(w, set()).add(i // 2)
+    for chunk, together, block in ((1 << 20, 1 << 19, 1 << 22), (1, 1, 1 << 22), (50, 100, 16), (7, 1 << 19, 64)):
+        for name, value in (("CHUNK", chunk), ("TOGETHER", together), ("BLOCK", block)):
+            monkeypatch.setattr(ld, name, value)
+        rows = [tuple(x.values()) for out in ld._holders(iter([batch, batch.slice(0, 0)])) for x in out.to_pylist()]
+        got, first = {}, {}
+        for w, p, _, known in rows:
+            if w is not None:
+                got.setdefault(w, set()).add(p)
+                if not known:
+                    first.setdefault(w, set()).add(p)
+        assert got == want and all(min(want[w]) in first[w] for w in want)
+        twice = {i // 2 for i, t in enumerate(texts) if len(set(x := ld.windows_of(*ld.lines_of(t)).tolist())) < len(x)}
+        assert {p for w, p, _, _ in rows if w is None} == twice and np.all([known for w, _, _, known in rows if w is None])
+
+
 def test_rows_without_ids_are_told_apart_by_their_text(spark):
     rng = random.Random(10)
     passage = text(rng, 70)
