@@ -67,10 +67,9 @@ def append(spark: SparkSession, log: str, events: DataFrame, violations: DataFra
 
 def transition_events(records: DataFrame, kind: str, reason: str | None = None) -> DataFrame:
     """Events (ord, kind, subject, body, at) that move records (record_id, at) to another state, in order of record_id."""
-    from pyspark.sql import Window
-
     body = canonical_object({"reason": F.lit(None).cast("string") if reason is None else quote_json(F.lit(reason))})
-    return records.select(F.row_number().over(Window.orderBy("record_id")).cast("long").alias("ord"), F.lit(kind).alias("kind"), F.col("record_id").alias("subject"), body.alias("body"), F.col("at"))
+    # A chain takes events of one place by kind and subject, so no number is given to each.
+    return records.select(F.lit(1).cast("long").alias("ord"), F.lit(kind).alias("kind"), F.col("record_id").alias("subject"), body.alias("body"), F.col("at"))
 
 
 def drifted(plan: DataFrame) -> DataFrame:
@@ -120,6 +119,15 @@ def sign_off(spark: SparkSession, log: str, report_head: tuple[int, str], signed
     return append(spark, log, signed.withColumn("kind", F.lit("verification.signed_off")), lost.unionByName(stale.select("problem")))
 
 
+def append_replays(spark: SparkSession, table: str, replays: DataFrame) -> None:
+    """Add replays to the log (Parquet at table); those whose replay_id is there already are left out, so that a repeated append
+    adds nothing. One writer at a time."""
+    new = replays.dropDuplicates(["replay_id"])
+    if exists(spark, table):
+        new = new.join(spark.read.parquet(table).select("replay_id"), "replay_id", "left_anti").select(*replays.columns)
+    new.write.mode("append").parquet(table)
+
+
 def encode_target(kind: Column, fields: dict[str, Column]) -> Column:
     """A delivery target as text: its kind and its fields in canonical JSON; null fields are stated as null."""
     return F.concat(kind, F.lit(":"), canonical_object({k: quote_json(v) for k, v in fields.items()}))

@@ -171,6 +171,12 @@ def migrate(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     return joined.select("run_id", state.alias("state"), F.when(known, F.col("source_hash")).alias("source_hash"), F.col("kind").alias("source_kind"), F.when(~known, F.col("source_hash")).alias("legacy_source_hash"))
 
 
+def rebuilt(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows copied into a table of other columns (name: type): what it lacks is left out, what is new is null."""
+    have = set(rows.columns)
+    return rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
+
+
 def backfill_order(records: DataFrame, deliveries: DataFrame, delivery_events: DataFrame, replays: DataFrame) -> DataFrame:
     """(section, id, key): the order in which a ledger without a chain is imported. Sort by (section, key, id)."""
     parts = [

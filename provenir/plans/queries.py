@@ -260,6 +260,13 @@ def run_refusals(spark, d):
     return ledger.run_refusals(runs).select("run_id", "refusal")
 
 
+@query("select replay_id, null::varchar as policy, state as outcome from (select replay_id, state from v_replays)")
+def replays_rebuilt(spark, d):
+    """Replays copied into a table with a column more and without the old ones."""
+    old = view(spark, d, "v_replays").select("replay_id", F.col("state").alias("outcome"), "differences")
+    return ledger.rebuilt(old, {"replay_id": "string", "policy": "string", "outcome": "string"})
+
+
 @query("""select section, id, key from (select 1 as section, record_id as id, created_at as key from v_records union all select 2, dispatch_id, created_at from v_deliveries
 union all select 3, event_id::varchar, printf('%020d', event_id) from v_delivery_events union all select 4, replay_id, '2024' from v_replays)""")
 def backfill_order(spark, d):

@@ -115,6 +115,38 @@ def export_blob(blobs: DataFrame, digest: str, path: str) -> int:
     return len(content)
 
 
+def materialise(manifest: DataFrame, blobs: DataFrame, folder: str) -> int:
+    """Write the files of a snapshot (path, digest) below a new folder that all executors share, contents from blobs (digest,
+    content); returns their number. Before a byte is written, every path must be safe and every blob there; each is verified
+    as it is written, and no file is overwritten."""
+    from provenir.operators.manifests import safe_path
+
+    unsafe = manifest.where(~F.coalesce(safe_path(F.col("path")), F.lit(False))).limit(1).count()
+    lost = manifest.join(blobs.select("digest").distinct(), "digest", "left_anti").limit(1).count()
+    if unsafe or lost:
+        raise ValueError("a path is not safe" if unsafe else "a blob is missing")
+    if exists(manifest.sparkSession, folder):
+        raise FileExistsError(folder)
+
+    def write(rows) -> None:
+        found, root, _ = _opened(folder)
+        for row in rows:
+            content = bytes(row["content"])
+            if hashlib.sha256(content).hexdigest() != row["digest"]:
+                raise ValueError(f"the blob of {row['path']} was altered")
+            path = posixpath.join(root, row["path"])
+            found.create_dir(posixpath.dirname(path), recursive=True)
+            # A task that is tried again writes the same bytes under a name of its own first.
+            part = f"{path}.{os.getpid()}.part"
+            with found.open_output_stream(part, compression=None) as out:
+                out.write(content)
+            found.move(part, path)
+
+    listed = manifest.select("path", "digest").dropDuplicates(["path"])
+    listed.join(blobs.select("digest", F.col("content").cast("binary").alias("content")).dropDuplicates(["digest"]), "digest").foreachPartition(write)
+    return listed.count()
+
+
 def _ends_with_newline(spark: SparkSession, uri: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -38,6 +38,35 @@ def test_export_is_verified_and_never_overwrites(spark, tmp_path):
     assert not (tmp_path / "new").exists()
 
 
+def test_snapshots_are_materialised(spark, tmp_path):
+    import pytest
+
+    texts = {"a/b.txt": b"one", "c": b"", "a/d/e": b"three"}
+    digest = {p: hashlib.sha256(c).hexdigest() for p, c in texts.items()}
+    manifest = spark.createDataFrame(list(digest.items()), "path string, digest string")
+    blobs = spark.createDataFrame([(digest[p], bytearray(c)) for p, c in texts.items()], "digest string, content binary")
+    assert files.materialise(manifest, blobs, str(tmp_path / "out")) == 3
+    assert {r.path: r.sha256 for r in files.scan_corpus(spark, str(tmp_path / "out")).collect()} == digest
+    with pytest.raises(FileExistsError):
+        files.materialise(manifest, blobs, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="missing"):
+        files.materialise(manifest, blobs.limit(1), str(tmp_path / "new"))
+    with pytest.raises(ValueError, match="safe"):
+        files.materialise(manifest.unionByName(spark.createDataFrame([("../x", digest["c"])], manifest.schema)), blobs, str(tmp_path / "new"))
+    with pytest.raises(Exception, match="altered"):
+        files.materialise(manifest, blobs.selectExpr("digest", "cast('other' as binary) as content"), str(tmp_path / "new"))
+
+
+def test_replays_are_logged_once(spark, tmp_path):
+    from provenir.operators import commits, compare
+
+    table = str(tmp_path / "replays")
+    rows = lambda *ids: spark.createDataFrame([(i, "rec", "t", "equivalent") for i in ids], "replay_id string, record_id string, replayed_at string, outcome string")
+    for batch in (("b", "a", "a"), ("a", "c")):
+        commits.append_replays(spark, table, rows(*batch))
+    assert [r.replay_id for r in compare.replays_of(spark.read.parquet(table), record_id="rec").collect()] == ["a", "b", "c"]
+
+
 def test_waivers_are_read(spark, tmp_path):
     (tmp_path / "w.json").write_text('[{"path":"p","lane":"l","outcome":"diverged","reason":"known"},\n{"path":"q","lane":"l","outcome":"regression"}]')
     assert sorted((r.path, r.reason) for r in files.read_waivers(spark, str(tmp_path / "w.json")).collect()) == [("p", "known"), ("q", None)]
