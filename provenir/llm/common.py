@@ -123,12 +123,12 @@ def is_before_cut(x: Column, tie: Column) -> Column:
 def dealt_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
     """rows joined with small (one row a key, with n: its rows in rows), a frequent key dealt to several tasks by spread.
 
-    A key with more than one task's share of the rows that small counts (their number over the shuffle's partitions) goes to
-    as many tasks as it has shares. There are fewer such keys than partitions, so they may be broadcast, and small grows by
-    fewer rows than that. small is read three times: it should be stored. n is dropped."""
+    A key with more than one task's share of the rows that small counts (their number over the shuffle's partitions) is dealt
+    out in four pieces a share, so that pieces fall evenly on tasks. There are fewer such keys than partitions, so they may
+    be broadcast, and small grows by some five rows a partition. small is read three times: it should be stored. n is dropped."""
     parts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = small.where(F.col("n") * parts > total).select(*keys, F.ceil(F.col("n") * parts / F.lit(max(total, 1))).cast("int").alias("_shares"))
+    hot = small.where(F.col("n") * parts > total).select(*keys, F.ceil(F.col("n") * 4 * parts / F.lit(max(total, 1))).cast("int").alias("_shares"))
     deal = F.when(F.col("_shares").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_shares"))).otherwise(0).cast("int")
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", deal).drop("_shares")
     right = small.join(F.broadcast(hot), keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares", "n")

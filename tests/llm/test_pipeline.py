@@ -67,13 +67,16 @@ def test_nulls_ties_repeats_and_clashing_names(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'own' as Kept", "1 as p")
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 0, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, str(tmp_path)).checkpoint()
+        assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, (1, 2, 4, None, 7, 8)))
+    assert "shared1 " not in kept.where("doc_id = 2").first().text and "of its own here" in kept.where("doc_id = 2").first().text
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = [r.doc_id for r in got]
-    assert {1, 2, 7} <= set(ids) and 3 not in ids and 9 not in ids and all(ids.count(i) <= 3 for i in set(ids))
-    assert len({4, 5, 6} & set(ids)) <= 1 and {r.n_tokens for r in got if r.doc_id in (4, 5)} <= {0}
-    assert all(r.decoded_sha256 for r in got)
-    later = [r for r in got if r.doc_id == 2]
-    assert all(r.n_tokens < 60 for r in later)
+    assert set(ids) <= {1, 2, 4, None, 7, 8} and len(ids) >= 4 and all(ids.count(i) <= 3 for i in set(ids))
+    assert {r.n_tokens for r in got if r.doc_id == 4} <= {0} and all(r.decoded_sha256 for r in got)
 
 
 def test_empty_tables(spark, tmp_path):
