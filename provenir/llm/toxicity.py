@@ -42,7 +42,7 @@ IDENTITIES = (
 #: The fit: labelled documents at most, words kept at most, documents a word must be in, chi-squared at least.
 SAMPLE, VOCABULARY, LEAST_DOCS, LEAST_CHI2 = 8_000, 512, 5, 30.0
 #: Derived terms at most, neutral mentions a term must have, chi-squared of a term at least and of its counterpart at most,
-#: counterparts considered for each number of texts.
+#: counterparts considered for each number of texts and sixteenth of the words.
 TERMS, MENTIONS, TERM_CHI2, NEUTRAL_CHI2, COUNTERPARTS = 64, 3, 4.0, 1.0, 64
 #: Weights of the ridge and of the counterfactual penalty.
 RIDGE, FAIRNESS = 0.05, 1.0
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities:
     if derive:
         unnamed = tested.where(~F.col("w").isin(terms))
         out = unnamed.where((F.col("x") >= TERM_CHI2) & (F.col("a") * n > F.col("k") * positive) & (F.col("k") - F.col("a") >= MENTIONS)).orderBy(F.col("x").desc(), "w").limit(TERMS)
-        alike = unnamed.where(F.col("x") < NEUTRAL_CHI2).withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("w"))).where(F.col("nth") <= COUNTERPARTS)
+        alike = unnamed.where(F.col("x") < NEUTRAL_CHI2).withColumn("nth", F.row_number().over(Window.partitionBy("k", F.pmod(F.xxhash64("w"), F.lit(16))).orderBy("w"))).where(F.col("nth") <= COUNTERPARTS)
         some = out.select("w", "k", "a").unionByName(alike.select("w", "k", "a")).collect()
         kinds += derived_kinds(n, positive, {r["w"]: (r["k"], r["a"]) for r in some}, identities)
         terms = sorted({w for kind in kinds for w in kind})
