@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,15 @@ def tree_digest(manifest: DataFrame, *keys: str) -> DataFrame:
     return manifest.groupBy(*keys).agg(F.count("*").alias("files"), F.sha2(tree_text(F.col("path"), F.col("digest")), 256).alias("digest"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row, and not again for each element that body looks up in it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def decode_tree(trees: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, path, digest) of canonical trees (column text); a tree that is not well formed gives none."""
-    parts = F.split(F.col(text), NUL, -1)
-    n = (F.size(parts) - 1) / 2
-    pairs = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.struct(F.get(parts, 2 * i - 2).alias("path"), F.get(parts, 2 * i - 1).alias("digest")))
+    pair = lambda parts, i: F.struct(F.get(parts, 2 * i - 2).alias("path"), F.get(parts, 2 * i - 1).alias("digest"))
+    pairs = let(F.split(F.col(text), NUL, -1), lambda parts: F.transform(F.sequence(F.lit(1), ((F.size(parts) - 1) / 2).cast("int")), lambda i: pair(parts, i)))
     found = trees.where(tree_problem(F.col(text)).isNull() & (F.col(text) != "")).select(*keys, F.explode(pairs).alias("e"))
     return found.select(*keys, "e.path", "e.digest")
 
@@ -45,7 +51,7 @@ def tree_problem(text: Column) -> Column:
     n = F.size(fields)
     paths = F.filter(fields, lambda _, i: i % 2 == 0)
     digests = F.filter(fields, lambda _, i: i % 2 == 1)
-    later = F.filter(paths, lambda x, i: (i > 0) & (x <= F.get(paths, i - 1)))
+    later = let(paths, lambda p: F.filter(p, lambda x, i: (i > 0) & (x <= F.get(p, i - 1))))
     # A file that is also a folder: it is among the folders above the paths, which are looked up by hash.
     above = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda k: F.array_join(F.slice(p, 1, k), "/"))
     nested = F.filter(F.transform(paths, lambda x: F.split(x, "/", -1)), lambda p: F.size(p) > 1)
